@@ -23,42 +23,48 @@ from sessora.functions import (
     is_send,
     is_start,
 )
-from sessora.plans.folds import Fold
+from sessora.plans.folds import Fold, Where
 
 
 def all_folds() -> dict[str, Fold]:
     """Every fold of the session state by name."""
-    moment = F.struct("mono_us", "wall_time")
-    # an error names a packet only where its own fields are set
-    names_packet = is_message() | (is_error() & (F.col("packet_id") >= 0))
-    sizes_packet = is_message() | (is_error() & (F.col("packet_size") > 0))
-    sizes_payload = is_message() | (is_error() & (F.col("payload_size") > 0))
+    start = Where("start", is_start())
+    close = Where("close", is_close())
+    lifecycle = Where("lifecycle", is_start() | is_close())
+    recv = Where("recv", is_recv())
+    send = Where("send", is_send())
+    message = Where("message", is_message())
+    error = Where("error", is_error())
+    # an error sets a packet field only where it carries one
+    packet_id = Where("packet_id", is_message() | (is_error() & (F.col("packet_id") >= 0)))
+    packet_size = Where("packet_size", is_message() | (is_error() & (F.col("packet_size") > 0)))
+    payload_size = Where("payload_size", is_message() | (is_error() & (F.col("payload_size") > 0)))
+
+    mono_us, wall_time, one = F.col("mono_us"), F.col("wall_time"), F.lit(1)
+    event = F.struct("mono_us", "wall_time", "socket_handle", "logic_worker_id")
     folds = [
-        Fold(
-            "_event",
-            "current",
-            F.struct("mono_us", "wall_time", "socket_handle", "logic_worker_id"),
-        ),
-        Fold("_first_event", "first", moment),
-        Fold("_start", "last", F.when(is_start(), moment)),
-        Fold("_closed", "last", F.when(is_close(), True).when(is_start(), False)),
-        Fold("_close_time", "last", F.when(is_close(), F.col("wall_time"))),
-        Fold("_recv_count", "sum", F.when(is_recv(), 1)),
-        Fold("_recv_bytes", "sum", F.when(is_recv(), F.col("bytes_transferred"))),
-        Fold("_send_count", "sum", F.when(is_send(), 1)),
-        Fold("_send_bytes", "sum", F.when(is_send(), F.col("bytes_transferred"))),
-        Fold("_messages", "sum", F.when(is_message(), 1)),
-        Fold("_errors", "sum", F.when(is_error(), 1)),
-        Fold("_first_message", "first", F.when(is_message(), F.col("mono_us"))),
-        Fold("_last_message", "last", F.when(is_message(), F.col("mono_us"))),
-        Fold("_message", "last_two", F.when(is_message(), F.col("mono_us"))),
-        Fold("_earlier_message", "previous", F.when(is_message(), F.col("mono_us"))),
-        Fold("_packet_id", "last", F.when(names_packet, F.col("packet_id"))),
-        Fold("_packet_size", "last", F.when(sizes_packet, F.col("packet_size"))),
-        Fold("_payload_size", "last", F.when(sizes_payload, F.col("payload_size"))),
-        Fold(
-            "_error", "last", F.when(is_error(), F.struct("error_code", "error_message"))
-        ),
+        Fold("_event", "current", event),
+        Fold("_first_us", "first", mono_us),
+        Fold("_first_wall", "first", wall_time),
+        Fold("_start_us", "last", mono_us, start),
+        Fold("_start_wall", "last", wall_time, start),
+        Fold("_closed", "last", is_close(), lifecycle),
+        Fold("_close_wall", "last", wall_time, close),
+        Fold("_recv_count", "sum", one, recv),
+        Fold("_recv_bytes", "sum", F.col("bytes_transferred"), recv),
+        Fold("_send_count", "sum", one, send),
+        Fold("_send_bytes", "sum", F.col("bytes_transferred"), send),
+        Fold("_messages", "sum", one, message),
+        Fold("_errors", "sum", one, error),
+        Fold("_first_message", "first", mono_us, message),
+        Fold("_last_message", "last", mono_us, message),
+        Fold("_message", "gap", mono_us, message),
+        Fold("_earlier_message", "previous", mono_us, message),
+        Fold("_packet_id", "last", F.col("packet_id"), packet_id),
+        Fold("_packet_size", "last", F.col("packet_size"), packet_size),
+        Fold("_payload_size", "last", F.col("payload_size"), payload_size),
+        Fold("_error_code", "last", F.col("error_code"), error),
+        Fold("_error_text", "last", F.col("error_message"), error),
     ]
     return {fold.name: fold for fold in folds}
 
@@ -95,30 +101,30 @@ def _restarting_zero(quirk: bool, in_zero: Column, otherwise: Column) -> Column:
 
 
 def _start_wall_time(quirk: bool) -> Column:
-    start = F.coalesce("_start.wall_time", "_first_event.wall_time")
+    start = F.coalesce("_start_wall", "_first_wall")
     return _restarting_zero(quirk, F.col("_event.wall_time"), start)
 
 
 def _duration(quirk: bool) -> Column:
-    start = F.coalesce("_start.mono_us", "_first_event.mono_us")
+    start = F.coalesce("_start_us", "_first_us")
     return _restarting_zero(quirk, F.lit(0.0), duration_ms(start, F.col("_event.mono_us")))
 
 
 def _last_interval(quirk: bool) -> Column:
-    return F.coalesce(duration_ms(F.col("_message_prev"), F.col("_message")), F.lit(0.0))
+    return F.coalesce(F.col("_message_gap") / F.lit(1000.0), F.lit(0.0))
 
 
 COLUMNS: dict[str, StateColumn] = {
     "socket_handle": StateColumn(("_event",), _plain("_event.socket_handle")),
     "logic_worker_id": StateColumn(("_event",), _plain("_event.logic_worker_id")),
-    "is_started": StateColumn(("_start",), lambda quirk: F.col("_start").isNotNull()),
+    "is_started": StateColumn(("_start_us",), lambda quirk: F.col("_start_us").isNotNull()),
     "is_closed": StateColumn(("_closed",), _or("_closed", False)),
     "connection_start_wall_time": StateColumn(
-        ("_start", "_first_event", "_event"), _start_wall_time
+        ("_start_wall", "_first_wall", "_event"), _start_wall_time
     ),
     "last_event_wall_time": StateColumn(("_event",), _plain("_event.wall_time")),
-    "connection_close_wall_time": StateColumn(("_close_time",), _plain("_close_time")),
-    "connection_duration_ms": StateColumn(("_start", "_first_event", "_event"), _duration),
+    "connection_close_wall_time": StateColumn(("_close_wall",), _plain("_close_wall")),
+    "connection_duration_ms": StateColumn(("_start_us", "_first_us", "_event"), _duration),
     "bytes_received_total": StateColumn(("_recv_bytes",), _total("_recv_bytes")),
     "bytes_sent_total": StateColumn(("_send_bytes",), _total("_send_bytes")),
     "recv_event_count": StateColumn(("_recv_count",), _total("_recv_count")),
@@ -132,8 +138,8 @@ COLUMNS: dict[str, StateColumn] = {
     "last_packet_id": StateColumn(("_packet_id",), _or("_packet_id", -1)),
     "last_packet_size": StateColumn(("_packet_size",), _or("_packet_size", 0)),
     "last_payload_size": StateColumn(("_payload_size",), _or("_payload_size", 0)),
-    "last_error_code": StateColumn(("_error",), _or("_error.error_code", 0)),
-    "last_error_message": StateColumn(("_error",), _or("_error.error_message", "")),
+    "last_error_code": StateColumn(("_error_code",), _or("_error_code", 0)),
+    "last_error_message": StateColumn(("_error_text",), _or("_error_text", "")),
 }
 
 ALL_COLUMNS = tuple(COLUMNS)

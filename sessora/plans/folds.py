@@ -25,8 +25,7 @@ the data: past that, chunks grow instead of the number of split points.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -42,30 +41,54 @@ _SAMPLES_PER_CHUNK = 64
 
 CHUNK = "_chunk"
 
-_PREV = "_prev"
+_GAP = "_gap"
 _CARRY = "_carry"
 
 
+@dataclass(frozen=True)
+class Where:
+    """A named row condition. Folds under one name share one aggregate in :func:`final`."""
+
+    name: str
+    condition: Column | None = None
+
+    def only(self, value: Column) -> Column:
+        return value if self.condition is None else F.when(self.condition, value)
+
+
+EVERY_ROW = Where("every_row")
+
+
 @dataclass(frozen=True)
 class Fold:
-    """One running value. ``value`` is NULL on rows the fold ignores.
+    """One running value over the rows where ``where`` holds.
+
+    ``value`` must not be NULL on those rows. The value is NULL, or 0 for a sum, until the
+    first such row.
 
     kinds:
-      sum       running total (0 before the first value)
-      first     first non-null value
-      last      last non-null value
-      previous  last non-null value of the rows *before* this one
-      last_two  ``name`` is the last non-null value, ``name + '_prev'`` the one before it
-      current   the row's own value, never null; as a final fold, the last row's
+      sum       running total
+      first     first value
+      last      last value
+      previous  last value of the rows *before* this one
+      gap       ``name`` is the last value, ``name + '_gap'`` its difference to the value
+                before it (NULL if there is none)
+      current   the row's own value; as a final fold, the last row's
     """
 
     name: str
     kind: str
     value: Column
+    where: Where = EVERY_ROW
 
     @property
     def outputs(self) -> list[str]:
-        return [self.name, self.name + _PREV] if self.kind == "last_two" else [self.name]
+        return [self.name, self.name + _GAP] if self.kind == "gap" else [self.name]
+
+    @property
+    def values(self) -> Column:
+        """The value where the condition holds, else NULL."""
+        return self.where.only(self.value)
 
 
 # ---------------------------------------------------------------------------
@@ -109,40 +132,32 @@ def _local(df: DataFrame, group: list[str], order: list[str], folds: Sequence[Fo
     before = window.rowsBetween(Window.unboundedPreceding, -1)
 
     columns: dict[str, Column] = {}
-    pairs: dict[str, str] = {}
+    gaps: dict[str, Column] = {}
+    current: dict[str, Column] = {}
     for fold in folds:
         if fold.kind == "current":
-            columns[fold.name] = fold.value
+            current[fold.name] = fold.value
         elif fold.kind == "sum":
-            columns[fold.name] = F.coalesce(F.sum(fold.value).over(upto), F.lit(0))
+            columns[fold.name] = F.coalesce(F.sum(fold.values).over(upto), F.lit(0))
         elif fold.kind == "first":
-            columns[fold.name] = F.first(fold.value, ignorenulls=True).over(upto)
+            columns[fold.name] = F.first(fold.values, ignorenulls=True).over(upto)
         elif fold.kind == "last":
-            columns[fold.name] = F.last(fold.value, ignorenulls=True).over(upto)
+            columns[fold.name] = F.last(fold.values, ignorenulls=True).over(upto)
         elif fold.kind == "previous":
-            columns[fold.name] = F.last(fold.value, ignorenulls=True).over(before)
-        elif fold.kind == "last_two":
-            pairs[fold.name] = fold.name + "_pair"
-            columns[pairs[fold.name]] = F.when(
-                fold.value.isNotNull(),
-                F.struct(
-                    fold.value.alias("last"),
-                    F.last(fold.value, ignorenulls=True).over(before).alias("prev"),
-                ),
-            )
+            columns[fold.name] = F.last(fold.values, ignorenulls=True).over(before)
+        elif fold.kind == "gap":
+            columns[fold.name] = F.last(fold.values, ignorenulls=True).over(upto)
+            columns[fold.name + _GAP] = fold.values - F.last(fold.values, ignorenulls=True).over(before)
+            gaps[fold.name + _GAP] = F.last(fold.name + _GAP, ignorenulls=True).over(upto)
         else:
             raise ValueError(f"unknown fold kind {fold.kind!r}")
-    # Shuffle the input columns, not the window arguments derived from them.
+    # Place and sort the input columns before the window arguments are derived from
+    # them, so that neither the shuffle nor the sort carries the derived columns.
     placed = df.repartition(*group) if group else df
-    out = placed.withColumns(columns)
-    if pairs:
-        out = out.withColumns(
-            {pair: F.last(pair, ignorenulls=True).over(upto) for pair in pairs.values()}
-        )
-        for name, pair in pairs.items():
-            out = out.withColumns({name: F.col(pair)["last"], name + _PREV: F.col(pair)["prev"]})
-        out = out.drop(*pairs.values())
-    return out
+    out = placed.sortWithinPartitions(*group, *order).withColumns(columns)
+    if gaps:
+        out = out.withColumns(gaps)
+    return out.withColumns(current) if current else out
 
 
 class _Fences:
@@ -174,14 +189,10 @@ class _Fences:
 
     def assign(self, df: DataFrame, split_groups_only: bool = False) -> DataFrame:
         """Add ``CHUNK``: how many split points of its group lie at or before the row."""
-        here = F.struct(*self.order)
         if not self.keys:
-            return df.withColumn("_fences", self.table.scalar()).withColumn(
-                CHUNK, _points_upto(F.col("_fences"), here)
-            ).drop("_fences")
+            return _with_chunk(df.withColumn("_fences", self.table.scalar()), self.order)
         how = "inner" if split_groups_only else "left"
-        joined = df.join(F.broadcast(self.table), self.keys, how)
-        return joined.withColumn(CHUNK, _points_upto(F.col("_fences"), here)).drop("_fences")
+        return _with_chunk(df.join(F.broadcast(self.table), self.keys, how), self.order)
 
 
 def _blocks(points: Column) -> Column:
@@ -194,13 +205,17 @@ def _blocks(points: Column) -> Column:
     return F.when(size > 0, blocks)
 
 
-def _points_upto(blocks: Column, here: Column) -> Column:
-    block_no = F.size(F.filter(blocks, lambda block: block[0] <= here))
-    block = F.element_at(blocks, block_no)
-    width = F.size(blocks[0])
-    inside = F.size(F.filter(block, lambda point: point <= here))
-    found = F.when(block_no > 0, (block_no - 1) * width + inside).otherwise(0)
-    return F.when(blocks.isNull(), F.lit(0)).otherwise(found)
+def _with_chunk(df: DataFrame, order: list[str]) -> DataFrame:
+    here = F.struct(*order)
+    fences, block_no = F.col("_fences"), F.col("_block_no")
+    inside = F.size(F.filter(F.get(fences, block_no - 1), lambda point: point <= here))
+    chunk = F.when(block_no > 0, (block_no - 1) * F.size(fences[0]) + inside).otherwise(0)
+    blocks_upto = F.size(F.filter(fences, lambda block: block[0] <= here))
+    return (
+        df.withColumn("_block_no", F.when(fences.isNotNull(), blocks_upto).otherwise(0))
+        .withColumn(CHUNK, chunk)
+        .drop("_block_no", "_fences")
+    )
 
 
 def _carry(
@@ -212,7 +227,7 @@ def _carry(
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns: dict[str, Column] = {}
-    pairs: list[str] = []
+    gaps: list[str] = []
     for fold in folds:
         name = fold.name
         if fold.kind == "sum":
@@ -221,19 +236,17 @@ def _carry(
             columns[name + _CARRY] = F.first(name, ignorenulls=True).over(earlier)
         else:
             columns[name + _CARRY] = F.last(name, ignorenulls=True).over(earlier)
-        if fold.kind == "last_two":
-            pairs.append(name)
+        if fold.kind == "gap":
+            # a chunk with one value has its gap to the last value of an earlier chunk
+            gaps.append(name + _GAP)
             before = F.last(name, ignorenulls=True).over(earlier)
-            columns[name + "_pair"] = F.when(
-                F.col(name).isNotNull(), F.struct(F.coalesce(name + _PREV, before).alias("prev"))
+            columns[name + _GAP] = F.when(
+                F.col(name).isNotNull(), F.coalesce(name + _GAP, F.col(name) - before)
             )
     out = summary.withColumns(columns)
-    if pairs:
+    if gaps:
         out = out.withColumns(
-            {
-                name + _PREV + _CARRY: F.last(name + "_pair", ignorenulls=True).over(earlier)["prev"]
-                for name in pairs
-            }
+            {gap + _CARRY: F.last(gap, ignorenulls=True).over(earlier) for gap in gaps}
         )
     carried = [output + _CARRY for fold in folds for output in fold.outputs]
     return out.select(*keys, CHUNK, *carried)
@@ -252,10 +265,10 @@ def _combine(
             columns[fold.name] = F.coalesce(earlier, mine)
         else:
             columns[fold.name] = F.coalesce(mine, earlier)
-        if fold.kind == "last_two":
-            prev = fold.name + _PREV
-            columns[prev] = F.when(mine.isNull(), F.col(prev + _CARRY)).otherwise(
-                F.coalesce(F.col(prev), earlier)
+        if fold.kind == "gap":
+            gap = fold.name + _GAP
+            columns[gap] = F.when(mine.isNull(), F.col(gap + _CARRY)).otherwise(
+                F.coalesce(F.col(gap), mine - earlier)
             )
     extra = [output + _CARRY for fold in folds for output in fold.outputs]
     return joined.withColumns(columns).drop(CHUNK, *extra)
@@ -275,40 +288,42 @@ def final(
     row per map task. ``keys`` must not be empty.
     """
     keys = list(keys)
-    at = F.struct(*order)
-    aggregates = []
+    sums = [fold for fold in folds if fold.kind == "sum"]
+    ends: dict[tuple[str, str], list[Fold]] = {}
     for fold in folds:
-        known = F.when(fold.value.isNotNull(), at)
-        if fold.kind == "sum":
-            column = F.coalesce(F.sum(fold.value), F.lit(0))
-        elif fold.kind == "first":
-            column = F.min_by(fold.value, known)
-        elif fold.kind == "current":
-            column = F.max_by(fold.value, at)
-        else:
-            column = F.max_by(fold.value, known)
-        aggregates.append(column.alias(fold.name))
-    out = df.groupBy(*keys).agg(*aggregates)
+        if fold.kind != "sum":
+            end = "first" if fold.kind == "first" else "last"
+            ends.setdefault((end, fold.where.name), []).append(fold)
+
+    aggregates = [F.coalesce(F.sum(f.values), F.lit(0)).alias(f.name) for f in sums]
+    columns = [F.col(f.name) for f in sums]
+    for (end, name), group in ends.items():
+        values = F.struct(*order, *[f.value.alias(f.name) for f in group])
+        extreme = F.min if end == "first" else F.max
+        aggregates.append(extreme(group[0].where.only(values)).alias(f"_{end}_{name}"))
+        columns += [F.col(f"_{end}_{name}")[f.name].alias(f.name) for f in group]
+    out = df.groupBy(*keys).agg(*aggregates).select(*keys, *columns)
     for fold in folds:
-        if fold.kind == "last_two":
-            out = out.join(_second_last(df, keys, order, fold), keys, "left")
+        if fold.kind == "gap":
+            second = _second_last(df, keys, order, fold)
+            out = out.join(second, keys, "left")
+            out = out.withColumn(fold.name + _GAP, F.col(fold.name) - F.col("_second")).drop("_second")
     return out
 
 
 def _second_last(
     df: DataFrame, keys: list[str], order: Sequence[str], fold: Fold
 ) -> DataFrame:
-    """The value before the last one; the rank filter keeps two rows per group and map task."""
+    """The value before the last one.
+
+    Spark applies the rank limit before the shuffle too, so a hot group sends two
+    rows per map task.
+    """
     newest_first = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return (
-        df.where(fold.value.isNotNull())
-        .select(*keys, *order, fold.value.alias(fold.name + _PREV))
+        df.select(*keys, *order, fold.values.alias("_second"))
+        .where(F.col("_second").isNotNull())
         .withColumn("_rank", F.row_number().over(newest_first))
-        .where(F.col("_rank") <= 2)
         .where(F.col("_rank") == 2)
-        .select(*keys, fold.name + _PREV)
+        .select(*keys, "_second")
     )
-
-
-def column_names(folds: Iterable[Fold]) -> list[str]:
-    return functools.reduce(lambda names, fold: names + fold.outputs, folds, [])
