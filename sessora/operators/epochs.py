@@ -41,8 +41,9 @@ def session_epochs(
     few = clears.limit(max_looked_up_clears + 1).count() <= max_looked_up_clears
     if few:
         keys = clears.agg(F.collect_list(F.struct(*S.ORDER))).scalar()
-        before = F.filter(keys, lambda key: key < F.struct(*S.ORDER))
-        return epochs.withColumn("clears", F.size(before).cast("long"))
+        before = F.filter("_clears", lambda key: key < F.struct(*S.ORDER))
+        looked_up = epochs.withColumn("_clears", keys)
+        return looked_up.withColumn("clears", F.size(before).cast("long")).drop("_clears")
     return _count_marks(_with_marks(epochs, clears), [], "clears", rows_per_chunk)
 
 

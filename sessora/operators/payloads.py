@@ -78,7 +78,6 @@ _FLOAT_TEXT = r"^[+-]?([0-9]+(_[0-9]+)*(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _INFINITE_TEXT = r"(?i)^\+?inf(inity)?$"
 
 _SQL_TYPES = {"int": "bigint", "float": "double", "bool": "boolean", "str": "string"}
-_MAX_LONG = "9223372036854775807"
 
 
 @dataclass(frozen=True)
@@ -147,76 +146,122 @@ def session_payloads(items: DataFrame) -> DataFrame:
 
 
 def parse_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Parse JSON text: ``payload`` (variant, NULL if not JSON), ``event_type`` and, by tag,
-    the typed ``message_request`` or ``session_request``."""
+    """Parse JSON text by its tag.
+
+    Adds ``payload`` (variant, NULL if the text is not JSON), ``event_type`` and, by tag, the
+    typed ``message_request`` or ``session_request``. ``fields`` holds what was found at each
+    expected path, for :func:`validate_payloads`.
+    """
     parsed = raw.withColumn("payload", F.try_parse_json(column))
-    parsed = parsed.withColumn("event_type", _text_of("event_type", "STRING"))
-    requests = {}
-    for event, name in _REQUEST_COLUMN.items():
-        typed = _request(PAYLOAD_FIELDS[event])
-        requests[name] = F.when(F.col("event_type") == event, typed)
+    parsed = parsed.withColumn("event_type", _top_text("event_type"))
+    tag = F.col("event_type")
+    expected = _by_tag(tag, {event: _spec(fields) for event, fields in PAYLOAD_FIELDS.items()})
+    parsed = parsed.withColumn("fields", _read_fields(expected))
+    requests = {
+        name: F.when(tag == event, _request(PAYLOAD_FIELDS[event]))
+        for event, name in _REQUEST_COLUMN.items()
+    }
     return parsed.withColumns(requests)
 
 
-def _leaf(path: str) -> Column:
-    return F.try_variant_get("payload", f"$.{path}", "variant")
+def _by_tag(tag: Column, choices: dict[str, Column]) -> Column:
+    chosen = F.lit(None)
+    for event, choice in choices.items():
+        chosen = F.when(tag == event, choice).otherwise(chosen)
+    return chosen
 
 
-def _type_of(path: str) -> Column:
-    """BIGINT, DECIMAL(p,s), DOUBLE, STRING, BOOLEAN, VOID and so on; NULL if absent."""
-    return F.schema_of_variant(_leaf(path))
+def _top_text(name: str) -> Column:
+    """A top-level field, if it is a string."""
+    kind = F.schema_of_variant(F.try_variant_get("payload", f"$.{name}", "variant"))
+    return F.when(kind == "STRING", F.try_variant_get("payload", f"$.{name}", "string"))
 
 
-def _text_of(path: str, only_type: str | None = None) -> Column:
-    text = F.try_variant_get("payload", f"$.{path}", "string")
-    return text if only_type is None else F.when(_type_of(path) == only_type, text)
+def _spec(fields: list[PayloadField]) -> Column:
+    """The expected fields as a constant array, so that one lambda covers them all."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(field.group).alias("group"),
+                F.lit(field.name).alias("name"),
+                F.lit(field.kind).alias("kind"),
+                F.lit(field.non_negative).alias("non_negative"),
+            )
+            for field in fields
+        ]
+    )
 
 
-def _is_number(kind: Column) -> Column:
-    return (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
+def _read_fields(expected: Column) -> Column:
+    """Per expected field its JSON type, the value as text (NULL if unreadable), and the spec."""
 
+    def members(path: str) -> Column:
+        return F.try_variant_get("payload", path, "map<string,variant>")
 
-def _value(field: PayloadField) -> Column:
-    """The field read under the lenient rules; NULL where it cannot be read."""
-    kind, text = _type_of(field.path), F.trim(_text_of(field.path))
-    digits = F.replace(text, F.lit("_"), F.lit(""))
-    flag = F.when(kind == "BOOLEAN", text == "true")
-    if field.kind == "str":
-        return _text_of(field.path, "STRING")
-    if field.kind == "bool":
-        number = F.when(_is_number(kind), text.try_cast("double"))
-        lower = F.when(kind == "STRING", F.lower(text))
-        return (
-            F.when(kind == "BOOLEAN", flag)
-            .when((number == 1) | lower.isin(*_TRUE_TEXTS), True)
-            .when((number == 0) | lower.isin(*_FALSE_TEXTS), False)
-        )
-    if field.kind == "int":
-        exact = digits.try_cast("decimal(38,6)")
-        whole = F.when(exact == F.floor(exact), exact.cast("decimal(38,0)"))
-        return (
-            F.when(kind == "BOOLEAN", flag.cast("decimal(38,0)"))
-            .when(_is_number(kind), whole)
-            .when((kind == "STRING") & text.rlike(_INT_TEXT), whole)
+    objects = F.create_map(
+        F.lit(""), members("$"),
+        F.lit("session"), members("$.session"),
+        F.lit("message"), members("$.message"),
+        F.lit("features"), members("$.features"),
+    )
+
+    def find(field: Column) -> Column:
+        leaf = F.try_element_at(F.try_element_at(objects, field["group"]), field["name"])
+        return F.struct(
+            field.alias("field"),
+            F.schema_of_variant(leaf).alias("type"),
+            F.try_variant_get(leaf, "$", "string").alias("text"),
         )
+
+    def read(found: Column) -> Column:
+        value = _value(found["field"]["kind"], found["type"], found["text"])
+        return F.struct(found["field"].alias("field"), found["type"], value.alias("value"))
+
+    return F.transform(F.transform(expected, find), read)
+
+
+def _value(kind: Column, json_type: Column, text: Column) -> Column:
+    """The value under the lenient rules, as plain text; NULL where it cannot be read."""
+    is_text, is_flag = json_type == "STRING", json_type == "BOOLEAN"
+    is_number = json_type.isin("BIGINT", "DOUBLE") | json_type.startswith("DECIMAL")
+    trimmed = F.trim(text)
+    digits = F.replace(trimmed, F.lit("_"), F.lit(""))
+    flag_digit = F.when(text == "true", "1").otherwise("0")
+
+    whole = (
+        F.when(is_flag, flag_digit)
+        .when(is_number | (is_text & trimmed.rlike(_INT_TEXT)), digits)
+        .try_cast("decimal(38,6)")
+    )
+    integer = F.when(whole == F.floor(whole), whole.cast("decimal(38,0)").cast("string"))
+    is_float_text = is_text & (trimmed.rlike(_FLOAT_TEXT) | trimmed.rlike(_INFINITE_TEXT))
+    real = F.when(is_flag, flag_digit).when(is_number | is_float_text, digits)
+    word = F.when(is_number, text.try_cast("double").cast("bigint").cast("string")).when(
+        is_text, F.lower(trimmed)
+    )
+    is_bit = ~is_number | text.try_cast("double").isin(0.0, 1.0)
+    truth = (
+        F.when(is_flag, text)
+        .when(is_bit & word.isin(*_TRUE_TEXTS), "true")
+        .when(is_bit & word.isin(*_FALSE_TEXTS), "false")
+    )
     return (
-        F.when(kind == "BOOLEAN", flag.cast("double"))
-        .when(_is_number(kind), text.try_cast("double"))
-        .when((kind == "STRING") & text.rlike(_FLOAT_TEXT), digits.try_cast("double"))
-        .when((kind == "STRING") & text.rlike(_INFINITE_TEXT), F.lit(float("inf")))
+        F.when(kind == "int", integer)
+        .when(kind == "float", real)
+        .when(kind == "bool", truth)
+        .when(is_text, text)
     )
 
 
 def _request(fields: list[PayloadField]) -> Column:
-    def typed(field: PayloadField) -> Column:
-        return _value(field).try_cast(_SQL_TYPES[field.kind]).alias(field.name)
-
     groups: dict[str, list[Column]] = {}
-    for field in fields:
-        groups.setdefault(field.group, []).append(typed(field))
+    for at, field in enumerate(fields):
+        value = F.get("fields", F.lit(at))["value"]
+        typed = value.try_cast(_SQL_TYPES[field.kind]).alias(field.name)
+        groups.setdefault(field.group, []).append(typed)
     top = groups.pop("")
     return F.struct(
-        _text_of("schema_version", "STRING").alias("schema_version"),
+        _top_text("schema_version").alias("schema_version"),
         F.col("event_type"),
         *top,
         *[F.struct(*columns).alias(group) for group, columns in groups.items()],
@@ -229,33 +274,31 @@ def _request(fields: list[PayloadField]) -> Column:
 
 
 def validate_payloads(parsed: DataFrame) -> DataFrame:
-    """Add ``errors``: every broken rule as ``path:reason``, empty for a good payload."""
-    tag = F.col("event_type")
-    known = F.coalesce(tag.isin(*PAYLOAD_FIELDS), F.lit(False))
-    errors = F.when(F.col("payload").isNull(), F.array(F.lit("payload:parse_error"))).when(
-        ~known, F.array(F.lit("event_type:unknown"))
+    """Replace ``fields`` by ``errors``: every broken rule as ``path:reason``, empty if good."""
+    version = _top_text("schema_version")
+    good_version = F.coalesce(version == S.SCHEMA_VERSION, F.lit(False))
+    version_error = F.when(~good_version, "schema_version:unsupported")
+    errors = (
+        F.when(F.col("payload").isNull(), F.array(F.lit("payload:parse_error")))
+        .when(F.col("fields").isNull(), F.array(F.lit("event_type:unknown")))
+        .otherwise(
+            F.array_compact(F.concat(F.array(version_error), F.transform("fields", _check)))
+        )
     )
-    for event, fields in PAYLOAD_FIELDS.items():
-        version = _text_of("schema_version", "STRING")
-        checks = [
-            F.when(version.isNull() | (version != S.SCHEMA_VERSION), "schema_version:unsupported"),
-            *[_check(field) for field in fields],
-        ]
-        errors = errors.when(tag == event, F.array_compact(F.array(*checks)))
-    return parsed.withColumn("errors", errors)
-
-
-def _check(field: PayloadField) -> Column:
-    value = _value(field)
-    check = F.when(_type_of(field.path).isNull(), f"{field.path}:missing").when(
-        value.isNull(), f"{field.path}:type"
+    return parsed.withColumn("errors", errors).drop("fields")
+
+
+def _check(read: Column) -> Column:
+    field, value = read["field"], read["value"]
+    path = F.concat_ws(".", F.when(field["group"] != "", field["group"]), field["name"])
+    number = value.try_cast("double")
+    reason = (
+        F.when(read["type"].isNull(), "missing")
+        .when(value.isNull(), "type")
+        .when(field["non_negative"] & ((number < 0) | F.isnan(number)), "below_zero")
+        .when((field["kind"] == "int") & value.try_cast("bigint").isNull(), "too_large")
     )
-    if field.non_negative:
-        check = check.when(value < 0, f"{field.path}:below_zero")
-    if field.kind == "int":
-        limit = F.lit(_MAX_LONG).cast("decimal(38,0)")
-        check = check.when((value > limit) | (value < -limit - 1), f"{field.path}:too_large")
-    return check
+    return F.when(reason.isNotNull(), F.concat(path, F.lit(":"), reason))
 
 
 def split_payloads(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
