@@ -367,7 +367,7 @@ def parse_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = J.parse_payloads(broken_payloads(spark, sf_dir))
     return parsed.select(
         "queue_sequence_id",
-        F.col("payload").isNotNull().alias("is_json"),
+        "is_json",
         "event_type",
         F.col("message_request").isNotNull().alias("is_message_request"),
         F.col("session_request").isNotNull().alias("is_session_request"),

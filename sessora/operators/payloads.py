@@ -8,6 +8,7 @@ are integers, ``12.5`` and ``null`` are not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -148,20 +149,80 @@ def session_payloads(items: DataFrame) -> DataFrame:
 def parse_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
     """Parse JSON text by its tag.
 
-    Adds ``payload`` (variant, NULL if the text is not JSON), ``event_type`` and, by tag, the
-    typed ``message_request`` or ``session_request``. ``fields`` holds what was found at each
-    expected path, for :func:`validate_payloads`.
+    Adds ``is_json``, ``event_type`` and, by tag, the typed ``message_request`` or
+    ``session_request``. ``read`` holds the texts and broken rules found on the way, for
+    :func:`validate_payloads`; text is parsed, looked up and checked in one expression.
     """
-    parsed = raw.withColumn("payload", F.try_parse_json(column))
-    parsed = parsed.withColumn("event_type", _top_text("event_type"))
-    tag = F.col("event_type")
-    expected = _by_tag(tag, {event: _spec(fields) for event, fields in PAYLOAD_FIELDS.items()})
-    parsed = parsed.withColumn("fields", _read_fields(expected))
+    parsed = raw.withColumn("read", _let(F.try_parse_json(column), _read_payload))
+    tag = F.col("read.event_type")
     requests = {
         name: F.when(tag == event, _request(PAYLOAD_FIELDS[event]))
         for event, name in _REQUEST_COLUMN.items()
     }
-    return parsed.withColumns(requests)
+    return parsed.withColumns({"is_json": F.col("read.is_json"), "event_type": tag, **requests})
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _read_payload(payload: Column) -> Column:
+    def members(path: str) -> Column:
+        return F.try_variant_get(payload, path, "map<string,variant>")
+
+    document = F.struct(
+        payload.isNotNull().alias("is_json"),
+        _string(payload, "event_type").alias("event_type"),
+        _string(payload, "schema_version").alias("schema_version"),
+        F.create_map(
+            F.lit(""), members("$"),
+            F.lit("session"), members("$.session"),
+            F.lit("message"), members("$.message"),
+            F.lit("features"), members("$.features"),
+        ).alias("objects"),
+    )
+    return _let(document, _read_document)
+
+
+def _string(payload: Column, name: str) -> Column:
+    """A top-level field, if it is a string."""
+    kind = F.schema_of_variant(F.try_variant_get(payload, f"$.{name}", "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(payload, f"$.{name}", "string"))
+
+
+def _read_document(document: Column) -> Column:
+    specs = {event: _spec(fields) for event, fields in PAYLOAD_FIELDS.items()}
+    expected = _by_tag(document["event_type"], specs)
+
+    def find(field: Column) -> Column:
+        members = F.try_element_at(document["objects"], field["group"])
+        return _let(
+            F.try_element_at(members, field["name"]),
+            lambda leaf: F.struct(
+                field.alias("field"),
+                F.schema_of_variant(leaf).alias("type"),
+                F.try_variant_get(leaf, "$", "string").alias("text"),
+            ),
+        )
+
+    def read(found: Column) -> Column:
+        value = _value(found["field"]["kind"], found["type"], found["text"])
+        return F.struct(
+            found["field"].alias("field"), found["type"].alias("type"), value.alias("value")
+        )
+
+    fields = F.transform(F.transform(expected, find), read)
+    return _let(
+        fields,
+        lambda found: F.struct(
+            document["is_json"].alias("is_json"),
+            document["event_type"].alias("event_type"),
+            document["schema_version"].alias("schema_version"),
+            F.transform(found, lambda field: field["value"]).alias("values"),
+            _errors(document, found).alias("errors"),
+        ),
+    )
 
 
 def _by_tag(tag: Column, choices: dict[str, Column]) -> Column:
@@ -171,12 +232,6 @@ def _by_tag(tag: Column, choices: dict[str, Column]) -> Column:
     return chosen
 
 
-def _top_text(name: str) -> Column:
-    """A top-level field, if it is a string."""
-    kind = F.schema_of_variant(F.try_variant_get("payload", f"$.{name}", "variant"))
-    return F.when(kind == "STRING", F.try_variant_get("payload", f"$.{name}", "string"))
-
-
 def _spec(fields: list[PayloadField]) -> Column:
     """The expected fields as a constant array, so that one lambda covers them all."""
     return F.array(
@@ -192,34 +247,6 @@ def _spec(fields: list[PayloadField]) -> Column:
     )
 
 
-def _read_fields(expected: Column) -> Column:
-    """Per expected field its JSON type, the value as text (NULL if unreadable), and the spec."""
-
-    def members(path: str) -> Column:
-        return F.try_variant_get("payload", path, "map<string,variant>")
-
-    objects = F.create_map(
-        F.lit(""), members("$"),
-        F.lit("session"), members("$.session"),
-        F.lit("message"), members("$.message"),
-        F.lit("features"), members("$.features"),
-    )
-
-    def find(field: Column) -> Column:
-        leaf = F.try_element_at(F.try_element_at(objects, field["group"]), field["name"])
-        return F.struct(
-            field.alias("field"),
-            F.schema_of_variant(leaf).alias("type"),
-            F.try_variant_get(leaf, "$", "string").alias("text"),
-        )
-
-    def read(found: Column) -> Column:
-        value = _value(found["field"]["kind"], found["type"], found["text"])
-        return F.struct(found["field"].alias("field"), found["type"], value.alias("value"))
-
-    return F.transform(F.transform(expected, find), read)
-
-
 def _value(kind: Column, json_type: Column, text: Column) -> Column:
     """The value under the lenient rules, as plain text; NULL where it cannot be read."""
     is_text, is_flag = json_type == "STRING", json_type == "BOOLEAN"
@@ -256,13 +283,13 @@ def _value(kind: Column, json_type: Column, text: Column) -> Column:
 def _request(fields: list[PayloadField]) -> Column:
     groups: dict[str, list[Column]] = {}
     for at, field in enumerate(fields):
-        value = F.get("fields", F.lit(at))["value"]
+        value = F.get("read.values", F.lit(at))
         typed = value.try_cast(_SQL_TYPES[field.kind]).alias(field.name)
         groups.setdefault(field.group, []).append(typed)
     top = groups.pop("")
     return F.struct(
-        _top_text("schema_version").alias("schema_version"),
-        F.col("event_type"),
+        F.col("read.schema_version").alias("schema_version"),
+        F.col("read.event_type").alias("event_type"),
         *top,
         *[F.struct(*columns).alias(group) for group, columns in groups.items()],
     )
@@ -274,18 +301,18 @@ def _request(fields: list[PayloadField]) -> Column:
 
 
 def validate_payloads(parsed: DataFrame) -> DataFrame:
-    """Replace ``fields`` by ``errors``: every broken rule as ``path:reason``, empty if good."""
-    version = _top_text("schema_version")
-    good_version = F.coalesce(version == S.SCHEMA_VERSION, F.lit(False))
+    """Replace ``read`` by ``errors``: every broken rule as ``path:reason``, empty if good."""
+    return parsed.withColumn("errors", F.col("read.errors")).drop("read")
+
+
+def _errors(document: Column, found: Column) -> Column:
+    good_version = F.coalesce(document["schema_version"] == S.SCHEMA_VERSION, F.lit(False))
     version_error = F.when(~good_version, "schema_version:unsupported")
-    errors = (
-        F.when(F.col("payload").isNull(), F.array(F.lit("payload:parse_error")))
-        .when(F.col("fields").isNull(), F.array(F.lit("event_type:unknown")))
-        .otherwise(
-            F.array_compact(F.concat(F.array(version_error), F.transform("fields", _check)))
-        )
+    return (
+        F.when(~document["is_json"], F.array(F.lit("payload:parse_error")))
+        .when(found.isNull(), F.array(F.lit("event_type:unknown")))
+        .otherwise(F.array_compact(F.concat(F.array(version_error), F.transform(found, _check))))
     )
-    return parsed.withColumn("errors", errors).drop("fields")
 
 
 def _check(read: Column) -> Column:
@@ -304,7 +331,7 @@ def _check(read: Column) -> Column:
 def split_payloads(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted payloads, and rejected ones with their raw text and error codes."""
     accepted = validated.where(F.size("errors") == 0).drop("errors")
-    rejected = validated.where(F.size("errors") > 0).drop("payload", *_REQUEST_COLUMN.values())
+    rejected = validated.where(F.size("errors") > 0).drop("is_json", *_REQUEST_COLUMN.values())
     return accepted, rejected
 
 
