@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sessora import schemas as S
 from sessora.functions import duration_ms, is_close, is_message
-from sessora.operators.state import ALL_COLUMNS, all_folds, needed_folds, read_columns
+from sessora.operators.state import ALL_COLUMNS, fold, needed_folds, read_columns
 from sessora.plans.folds import ROWS_PER_CHUNK, running
 
 KEYS = ("session_id",)
@@ -63,7 +63,7 @@ def message_snapshots(
     )
     # at a message the packet fields are the event's own, and the gap needs only the
     # message before it, so the carried-forward folds are left out
-    folds = [*needed_folds(columns), all_folds()["_earlier_message"]]
+    folds = [*needed_folds(columns), fold("_earlier_message")]
     folded = running(events, KEYS, S.ORDER, folds, rows_per_chunk).where(is_message())
     state = {c: column for c, column in zip(columns, read_columns(columns, session_zero_quirk))}
     return folded.select(
@@ -102,7 +102,7 @@ def message_interval(
 ) -> DataFrame:
     """Gap to the previous message of the session, 0 for the first; one row per message."""
     messages = _messages(events)
-    folds = [all_folds()["_earlier_message"]]
+    folds = [fold("_earlier_message")]
     folded = running(messages, KEYS, S.ORDER, folds, rows_per_chunk)
     return folded.select(*S.ORDER, "session_id", _gap().alias("message_interval_ms"))
 
@@ -112,7 +112,7 @@ def request_index(
 ) -> DataFrame:
     """1-based number of each message in its session."""
     messages = _messages(events)
-    folded = running(messages, KEYS, S.ORDER, [all_folds()["_messages"]], rows_per_chunk)
+    folded = running(messages, KEYS, S.ORDER, [fold("_messages")], rows_per_chunk)
     return folded.select(
         *S.ORDER, "session_id", F.col("_messages").cast("long").alias("request_index")
     )

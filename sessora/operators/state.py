@@ -23,50 +23,81 @@ from sessora.functions import (
     is_send,
     is_start,
 )
-from sessora.plans.folds import Fold, Where
-
-
-def all_folds() -> dict[str, Fold]:
-    """Every fold of the session state by name."""
-    start = Where("start", is_start())
-    close = Where("close", is_close())
-    lifecycle = Where("lifecycle", is_start() | is_close())
-    recv = Where("recv", is_recv())
-    send = Where("send", is_send())
-    message = Where("message", is_message())
-    error = Where("error", is_error())
-    # an error sets a packet field only where it carries one
-    packet_id = Where("packet_id", is_message() | (is_error() & (F.col("packet_id") >= 0)))
-    packet_size = Where("packet_size", is_message() | (is_error() & (F.col("packet_size") > 0)))
-    payload_size = Where("payload_size", is_message() | (is_error() & (F.col("payload_size") > 0)))
-
-    mono_us, wall_time, one = F.col("mono_us"), F.col("wall_time"), F.lit(1)
-    event = F.struct("mono_us", "wall_time", "socket_handle", "logic_worker_id")
-    folds = [
-        Fold("_event", "current", event),
-        Fold("_first_us", "first", mono_us),
-        Fold("_first_wall", "first", wall_time),
-        Fold("_start_us", "last", mono_us, start),
-        Fold("_start_wall", "last", wall_time, start),
-        Fold("_closed", "last", is_close(), lifecycle),
-        Fold("_close_wall", "last", wall_time, close),
-        Fold("_recv_count", "sum", one, recv),
-        Fold("_recv_bytes", "sum", F.col("bytes_transferred"), recv),
-        Fold("_send_count", "sum", one, send),
-        Fold("_send_bytes", "sum", F.col("bytes_transferred"), send),
-        Fold("_messages", "sum", one, message),
-        Fold("_errors", "sum", one, error),
-        Fold("_first_message", "first", mono_us, message),
-        Fold("_last_message", "last", mono_us, message),
-        Fold("_message", "gap", mono_us, message),
-        Fold("_earlier_message", "previous", mono_us, message),
-        Fold("_packet_id", "last", F.col("packet_id"), packet_id),
-        Fold("_packet_size", "last", F.col("packet_size"), packet_size),
-        Fold("_payload_size", "last", F.col("payload_size"), payload_size),
-        Fold("_error_code", "last", F.col("error_code"), error),
-        Fold("_error_text", "last", F.col("error_message"), error),
-    ]
-    return {fold.name: fold for fold in folds}
+from sessora.plans.folds import EVERY_ROW, Fold, Where
+
+
+# --- which rows a fold reads -------------------------------------------------
+
+
+def _start() -> Where:
+    return Where("start", is_start())
+
+
+def _close() -> Where:
+    return Where("close", is_close())
+
+
+def _lifecycle() -> Where:
+    return Where("lifecycle", F.col("type").isin(S.SESSION_STARTED, S.SESSION_CLOSED))
+
+
+def _recv() -> Where:
+    return Where("recv", is_recv())
+
+
+def _send() -> Where:
+    return Where("send", is_send())
+
+
+def _message() -> Where:
+    return Where("message", is_message())
+
+
+def _error() -> Where:
+    return Where("error", is_error())
+
+
+def _sets(name: str, floor: int) -> Where:
+    """Messages always set a packet field; an error only where it carries one."""
+    return Where(name, is_message() | (is_error() & (F.col(name) > floor)))
+
+
+# --- folds: kind, value, rows; built only when asked for -------------------------
+
+_FOLDS: dict[str, tuple[str, Callable[[], Column], Callable[[], Where]]] = {
+    "_event": (
+        "current",
+        lambda: F.struct("mono_us", "wall_time", "socket_handle", "logic_worker_id"),
+        lambda: EVERY_ROW,
+    ),
+    "_first_us": ("first", lambda: F.col("mono_us"), lambda: EVERY_ROW),
+    "_first_wall": ("first", lambda: F.col("wall_time"), lambda: EVERY_ROW),
+    "_start_us": ("last", lambda: F.col("mono_us"), _start),
+    "_start_wall": ("last", lambda: F.col("wall_time"), _start),
+    "_closed": ("last", is_close, _lifecycle),
+    "_close_wall": ("last", lambda: F.col("wall_time"), _close),
+    "_recv_count": ("sum", lambda: F.lit(1), _recv),
+    "_recv_bytes": ("sum", lambda: F.col("bytes_transferred"), _recv),
+    "_send_count": ("sum", lambda: F.lit(1), _send),
+    "_send_bytes": ("sum", lambda: F.col("bytes_transferred"), _send),
+    "_messages": ("sum", lambda: F.lit(1), _message),
+    "_errors": ("sum", lambda: F.lit(1), _error),
+    "_first_message": ("first", lambda: F.col("mono_us"), _message),
+    "_last_message": ("last", lambda: F.col("mono_us"), _message),
+    "_message": ("gap", lambda: F.col("mono_us"), _message),
+    "_earlier_message": ("previous", lambda: F.col("mono_us"), _message),
+    "_packet_id": ("last", lambda: F.col("packet_id"), lambda: _sets("packet_id", -1)),
+    "_packet_size": ("last", lambda: F.col("packet_size"), lambda: _sets("packet_size", 0)),
+    "_payload_size": ("last", lambda: F.col("payload_size"), lambda: _sets("payload_size", 0)),
+    "_error_code": ("last", lambda: F.col("error_code"), _error),
+    "_error_text": ("last", lambda: F.col("error_message"), _error),
+}
+
+
+def fold(name: str) -> Fold:
+    """A fold of the session state by name."""
+    kind, value, where = _FOLDS[name]
+    return Fold(name, kind, value(), where())
 
 
 @dataclass(frozen=True)
@@ -148,7 +179,7 @@ ALL_COLUMNS = tuple(COLUMNS)
 def needed_folds(columns: Iterable[str]) -> list[Fold]:
     """The folds that ``columns`` read, each once."""
     wanted = {name for column in columns for name in COLUMNS[column].needs}
-    return [fold for name, fold in all_folds().items() if name in wanted]
+    return [fold(name) for name in _FOLDS if name in wanted]
 
 
 def read_columns(columns: Iterable[str], session_zero_quirk: bool) -> list[Column]:
