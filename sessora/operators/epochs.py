@@ -44,7 +44,9 @@ def session_epochs(
         before = F.filter("_clears", lambda key: key < F.struct(*S.ORDER))
         looked_up = epochs.withColumn("_clears", keys)
         return looked_up.withColumn("clears", F.size(before).cast("long")).drop("_clears")
-    return _count_marks(_with_marks(epochs, clears), [], "clears", rows_per_chunk)
+    return _count_marks(
+        _with_marks(epochs, clears), [], "clears", rows_per_chunk, _with_marks(events, clears)
+    )
 
 
 def _with_marks(events: DataFrame, marks: DataFrame) -> DataFrame:
@@ -53,10 +55,14 @@ def _with_marks(events: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _count_marks(
-    merged: DataFrame, keys: Sequence[str], name: str, rows_per_chunk: int | None
+    merged: DataFrame,
+    keys: Sequence[str],
+    name: str,
+    rows_per_chunk: int | None,
+    same_rows: DataFrame | None = None,
 ) -> DataFrame:
     count = Fold(name, "sum", F.when(F.col("_mark"), 1).otherwise(0))
-    counted = running(merged, keys, S.ORDER, [count], rows_per_chunk)
+    counted = running(merged, keys, S.ORDER, [count], rows_per_chunk, same_rows)
     counted = counted.withColumn(name, F.col(name).cast("long"))
     return counted.where(~F.col("_mark")).drop("_mark")
 
@@ -76,6 +82,7 @@ def running_state_with_removals(
         session_zero_quirk=session_zero_quirk,
         rows_per_chunk=rows_per_chunk,
         keys=EPOCH_KEYS,
+        split_rows=events,
     )
 
 

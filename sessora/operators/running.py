@@ -30,13 +30,23 @@ def running_session_state(
     rows_per_chunk: int | None = ROWS_PER_CHUNK,
     keys: Sequence[str] = KEYS,
     keep: Sequence[str] = (),
+    split_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Session state after every event, one row per event.
 
     ``columns`` picks state columns, ``keep`` carries event columns along. ``keys`` may hold
-    more than the session id, as in :func:`sessora.operators.epochs.session_epochs`.
+    more than the session id, as in :func:`sessora.operators.epochs.session_epochs`; then
+    ``split_rows`` should be the plain event log, so that sizing sessions stays a cheap scan.
     """
-    folded = running(events, keys, S.ORDER, needed_folds(columns), rows_per_chunk)
+    folded = running(
+        events,
+        keys,
+        S.ORDER,
+        needed_folds(columns),
+        rows_per_chunk,
+        split_keys=None if split_rows is None else KEYS,
+        split_rows=split_rows,
+    )
     taken = {*keys, *S.ORDER, "type"}
     passed = [name for name in keep if name not in taken]
     return folded.select(

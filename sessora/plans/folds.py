@@ -103,19 +103,25 @@ def running(
     folds: Sequence[Fold],
     rows_per_chunk: int | None = ROWS_PER_CHUNK,
     same_rows: DataFrame | None = None,
+    split_keys: Sequence[str] | None = None,
+    split_rows: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` plus one column per fold, as of each row in ``order`` within ``keys``.
 
     ``order`` must be unique within ``keys``. With no ``keys`` the whole table is one group.
     ``rows_per_chunk=None`` skips splitting, for callers that know every group fits one task.
     ``same_rows`` may give the same rows in a cheaper plan; split points and carries are
-    then taken from it.
+    then taken from it. ``split_keys`` and ``split_rows`` may place the split points by fewer
+    keys and from yet another table; any points give the same result.
     """
     keys, order = list(keys), list(order)
     if rows_per_chunk is None:
         return _local(df, keys, order, folds)
     source = df if same_rows is None else same_rows
-    fences = _Fences(source, keys, order, rows_per_chunk)
+    split_by = keys if split_keys is None else list(split_keys)
+    fences = _Fences(
+        source if split_rows is None else split_rows, split_by, order, rows_per_chunk
+    )
     local = _local(fences.assign(df), keys + [CHUNK], order, folds)
     carried = [f for f in folds if f.kind != "current"]
     if not carried:
@@ -221,7 +227,11 @@ def _with_chunk(df: DataFrame, order: list[str]) -> DataFrame:
 def _carry(
     split: DataFrame, keys: list[str], order: list[str], folds: Sequence[Fold]
 ) -> DataFrame:
-    """Per chunk of a split group: each fold over all earlier chunks."""
+    """Per chunk of a split group, from its second on: each fold over all earlier chunks.
+
+    A chunk continues at most one group of the chunk before it, so there are no more rows
+    than split points.
+    """
     summary = final(split, keys + [CHUNK], order, folds)
     window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -249,7 +259,8 @@ def _carry(
             {gap + _CARRY: F.last(gap, ignorenulls=True).over(earlier) for gap in gaps}
         )
     carried = [output + _CARRY for fold in folds for output in fold.outputs]
-    return out.select(*keys, CHUNK, *carried)
+    continued = out.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") > 1)
+    return continued.select(*keys, CHUNK, *carried)
 
 
 def _combine(

@@ -109,7 +109,9 @@ def test_removals_and_clears(spark, few_clears):
     epochs = P.session_epochs(
         events, controls, rows_per_chunk=30, max_looked_up_clears=1000 if few_clears else 1
     )
-    state = R.running_session_state(epochs, keys=P.EPOCH_KEYS, rows_per_chunk=30)
+    state = R.running_session_state(
+        epochs, keys=P.EPOCH_KEYS, rows_per_chunk=30, split_rows=events
+    )
     actual = {r["event_seq"]: r for r in state.collect()}
     expected = replay(rows + marks)
     assert len(actual) == len(expected)
