@@ -24,6 +24,7 @@ def stream_of(spark, folder, batches):
     import time
 
     XI.use_rocksdb(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # fixed per checkpoint; each one costs a worker
     at = time.time() - 1000
     for n, batch in enumerate(batches):
         frame(spark, batch).coalesce(1).write.mode("append").parquet(str(folder))
