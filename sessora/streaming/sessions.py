@@ -81,6 +81,9 @@ def stream_feature_items(
 
     ``events`` are normalized and may hold ``RemoveSession`` rows. A stream has no global
     item number; number the written items in batch.
+
+    ``idle_ms`` switches the state store to processing time. Use it with a running trigger: an
+    ``availableNow`` run with it was seen not to end within minutes.
     """
     used = events.where(F.col("type") != S.CLEAR).select(
         "session_id",

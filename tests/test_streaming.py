@@ -49,12 +49,12 @@ def test_items_equal_batch_when_in_order(spark, tmp_path, rows):
     assert sorted(map(str, items.collect())) == sorted(map(str, batch.collect()))
 
 
-def test_removal_and_idle_option(spark, tmp_path, rows):
+def test_removal(spark, tmp_path, rows):
     middle = rows[120]["mono_us"]
     marks = [{**event(10**7, S.REMOVE_SESSION, 2, middle)}]
     mixed = sorted(rows + marks, key=lambda e: (e["mono_us"], e["event_seq"]))
     stream = stream_of(spark, tmp_path / "in", [mixed[:90], mixed[90:]])
-    items = run(spark, XI.stream_feature_items(stream, idle_ms=86_400_000), tmp_path)
+    items = run(spark, XI.stream_feature_items(stream), tmp_path)
     messages = items.where("message IS NOT NULL").select("event_seq", "message.request_index")
     expected = {
         r["event_seq"]: r["request_count"] for r in replay(mixed) if r["type"] == S.PACKET_PARSED
