@@ -9,7 +9,7 @@ packed once each. Cutting is by whole documents of any length; no id is dropped.
 
 from __future__ import annotations
 
-import itertools
+import functools
 import os
 from collections.abc import Callable
 
@@ -17,12 +17,12 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from sessora.llm.common import Cache, map_texts
+from sessora.llm.common import map_texts
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 MAX_TOKENS = 4096
-CACHED_WORDS = 200_000  # a generation of the memo, each task holds two
+CACHED_WORDS = 700_000  # of the memo that a Python worker keeps
 
 
 def cuts(n: int, max_tokens: int = MAX_TOKENS) -> list[int]:
@@ -39,25 +39,41 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), Cache(cached)
-        self.cache.put("", b"")
+        self.tokenizer, self.cache, self.cached = Tokenizer.from_file(path), {"": b""}, cached
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
-        known = {w: self.cache.get(w) for w in set(itertools.chain.from_iterable(words))}
-        missing = {w: self._core(w) for w, ids in known.items() if ids is None}
-        parts = {p for core in missing.values() for p in core if p}
-        ids_of = {p: self.cache.get(p) for p in parts}
-        new = [p for p, ids in ids_of.items() if ids is None]
-        for part, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids_of[part] = ids = np.array(encoded.ids, "<u4").tobytes()
-            self.cache.put(part, ids)
-        for word, core in missing.items():
-            known[word] = ids = b"".join(ids_of[p] for p in core if p)
-            if core[1]:
-                self.cache.put(word, ids)
-        find = known.__getitem__
-        return [np.frombuffer(b"".join(map(find, row)), "<u4") for row in words]
+        found = [list(map(self.cache.get, row)) for row in words]
+        if missing := {w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None}:
+            new = self._encode(missing)
+            for ws, ids in zip(words, found):
+                if None in ids:
+                    ids[:] = [new[w] if i is None else i for w, i in zip(ws, ids)]
+            if len(self.cache) + len(new) > self.cached:
+                self.cache = {"": b""}
+            self.cache.update(new)
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+
+    def _encode(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of words, and of the words without their last mark."""
+        cut = {w: self._core(w) for w in missing}
+        parts = sorted({p for core in cut.values() for p in core if p})
+        known = {p: ids for p in parts if (ids := self.cache.get(p)) is not None}
+        known |= self._encode_letters([p for p in parts if p not in known and p.isalpha()])
+        rest = [p for p in parts if p not in known]
+        for part, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[part] = np.array(encoded.ids, "<u4").tobytes()
+        return known | {w: b"".join(known[p] for p in core if p) for w, core in cut.items()}
+
+    def _encode_letters(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters alone, which the tokenizer keeps apart at blanks, in one call."""
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, place = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids, np.int64)
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        if len(starts) != len(words):
+            return {}  # a letter to one library is none to the other
+        stops = [*starts[1:].tolist(), len(ids)]
+        return {w: ids[a:b].tobytes() for w, a, b in zip(words, starts.tolist(), stops)}
 
     @staticmethod
     def _core(word: str) -> tuple[str, str]:
@@ -78,6 +94,12 @@ class WordEncoder:
         return text.lower()
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """One per Python worker, kept from task to task."""
+    return WordEncoder(path)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str | None = None,
@@ -93,7 +115,7 @@ def pack(
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def start() -> Callable:
-        encode = WordEncoder(path)
+        encode = _encoder(path)
 
         def step(texts, part):
             rows = []
