@@ -16,6 +16,7 @@ import base64
 import heapq
 import itertools
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -248,13 +249,19 @@ class Codec:
         return self.bytes[np.arange(offsets[-1]) + shift].tobytes()
 
 
+@cache
+def _codec(path: str, first: bytes, kinds: bytes) -> Codec:
+    """One per Python worker, kept from task to task."""
+    return Codec(path, (np.frombuffer(first, np.int64), np.frombuffer(kinds, np.uint8)))
+
+
 def round_trip(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, `ids` and `offsets` (little-endian unsigned 32- and 64-bit integers), and `decoded`,
     the bytes that the ids stand for."""
     path, runs = ranks or public_tokenizers.path(RANKS), runs_of(codepoint_classes())
 
     def start() -> Callable:
-        codec = Codec(path, runs)
+        codec = _codec(path, *(a.tobytes() for a in runs))
 
         def step(texts, part):
             every = codec.encode(texts)
