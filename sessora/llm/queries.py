@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessora.llm import bpe, fingerprints, media, packing, secrets
-from sessora.llm.common import texts_of
+from sessora.llm import (
+    bpe,
+    fingerprints,
+    languages,
+    media,
+    neardups,
+    packing,
+    quality,
+    secrets,
+    toxicity,
+)
+from sessora.llm.common import held_out, texts_of
+from sessora.llm.oracles import NEAR_DUPLICATES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +27,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts_of(documents(spark, sf_dir))
+    model = quality.fit(docs, labels(spark, sf_dir))
+    unseen = held_out(quality.MODULUS, quality.HELD_OUT)
+    return quality.score(docs, model).select("doc_id", unseen.alias("held_out"), "score", "predicted")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(packing.pack(texts_of(documents(spark, sf_dir))))
 
@@ -24,6 +46,14 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.load(media.store(texts_of(documents(spark, sf_dir))))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    models = languages.fit(docs)
+    unseen = held_out(languages.MODULUS, languages.HELD_OUT)
+    found = languages.predict(texts_of(docs), models)
+    return found.select("doc_id", unseen.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(bpe.round_trip(texts_of(documents(spark, sf_dir))))
 
@@ -32,16 +62,29 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(texts_of(documents(spark, sf_dir))))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardups.near_duplicates(documents(spark, sf_dir), width=3, num=85, den=100)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(texts_of(docs), toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
     "op4_media_columns": op4_media_columns,
+    "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_minhash_near_dedup": NEAR_DUPLICATES}
