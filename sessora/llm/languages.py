@@ -363,3 +363,14 @@ def predict(docs: DataFrame, models: Models, keep=("doc_id",)) -> DataFrame:
 
     new = "lang_pred string, score double, entropy double, margin double, rejected boolean"
     return map_texts(docs, new, start, keep)
+
+
+def accepted(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows that are not rejected, with their columns as they are."""
+
+    def start() -> Callable:
+        scorer = models.open()
+        return lambda texts, part: {"__out": scorer.predict(texts)["rejected"]}
+
+    marked = map_texts(docs, "__out boolean", start, keep=docs.columns)
+    return marked.where("not __out").select(*docs.columns)

@@ -242,3 +242,16 @@ def score(docs: DataFrame, model: Model, keep=("doc_id",)) -> DataFrame:
         return step
 
     return map_texts(docs, "score double, predicted int", start, keep)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that the model predicts to be good, with their columns as they are."""
+
+    def start() -> Callable:
+        def step(texts, part):
+            return {"__good": model.score(np.array([statistics(t) for t in texts])) >= 0.5}
+
+        return step
+
+    marked = map_texts(docs, "__good boolean", start, keep=docs.columns)
+    return marked.where("__good").select(*docs.columns)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from sessora.llm import (
     bpe,
     fingerprints,
@@ -14,6 +15,7 @@ from sessora.llm import (
     neardups,
     packing,
     quality,
+    scoring,
     secrets,
     toxicity,
 )
@@ -42,6 +44,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(packing.pack(texts_of(documents(spark, sf_dir))))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts_of(documents(spark, sf_dir))
+    return scoring.score(docs, scoring.fit(docs))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.load(media.store(texts_of(documents(spark, sf_dir))))
 
@@ -78,6 +85,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
@@ -85,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op8_minhash_near_dedup": NEAR_DUPLICATES}
