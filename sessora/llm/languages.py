@@ -270,7 +270,7 @@ def build(counts: dict[str, dict[str, int]]) -> Models:
 def _sorted_rows(grams: list[str], values: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     hashes = _hashes_of(grams)
     order = np.argsort(hashes)
-    return hashes[order], np.array(values, np.float32).reshape(-1, width)[order]
+    return hashes[order], np.array(values, np.float32).reshape(len(grams), width)[order]
 
 
 def _share(seed: int) -> Column:
