@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -117,16 +120,24 @@ def broken_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; local only where none is set."""
+    """A new folder in the cluster's shared checkpoint folder.
+
+    Only a local session without one gets a temporary folder, which goes when the process ends.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='sessora-')}/{uuid.uuid4().hex}"
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="sessora-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared}/{uuid.uuid4().hex}"
 
 
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     XI.use_rocksdb(spark)
     schema = raw_events(spark, sf_dir).schema
-    # a path pattern, as a file stream does not take a plain file
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    # a path pattern, as a file stream does not take a plain file; it matches this one name alone
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
     return E.normalize_events(adapt_events(stream))
 
 
@@ -463,7 +474,7 @@ def stream_session_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark)
     log = streamed_events(spark, sf_dir)
-    XS.stream_score(log, f"{folder}/out", f"{folder}/cp", available_now=True).awaitTermination()
+    XS.stream_score(log, f"{folder}/out", f"{folder}/cp", run="one", available_now=True).awaitTermination()
     results = spark.read.schema(S.INFERENCE_RESULT).parquet(f"{folder}/out")
     return results.select("session_id", "arrival_seq", "label", "received_event_type")
 
@@ -474,14 +485,13 @@ def stream_inference_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     results.write.parquet(f"{folder}/results")
     stream = spark.readStream.schema(S.INFERENCE_RESULT).parquet(f"{folder}/results")
     XS.stream_inference_state(
-        stream, f"{folder}/out", f"{folder}/cp", available_now=True
+        stream, f"{folder}/out", f"{folder}/cp", run="one", available_now=True
     ).awaitTermination()
     return _flat_result_state(XS.read_inference_state(spark, f"{folder}/out"))
 
 
 QUERIES: dict[str, Query] = {
     "flagship": flagship,
-    "scan_network_events": events,
     "normalize_events": normalize_events,
     "route_events": route_events,
     "message_events": lambda s, d: E.message_events(events(s, d)).select(

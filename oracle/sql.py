@@ -229,7 +229,6 @@ _EPOCH_STATE = _with(
 )
 
 ORACLES: dict[str, str] = {
-    "scan_network_events": f"{_with(EV)} SELECT * FROM ev",
     "normalize_events": f"""{_with(EV)}
       SELECT event_seq,
         CASE WHEN event_seq % 7 = 0 THEN 'ProtocolError' ELSE type END AS type, session_id,

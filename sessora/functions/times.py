@@ -28,5 +28,8 @@ def epoch_micros(ts: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with microseconds; the session timezone must be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """ISO-8601 text with microseconds, in UTC whatever the session's timezone."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")).cast("string")
+    fraction = F.rpad(F.substring(utc, 21, 6), 6, "0")  # the text leaves out zeros at its end
+    day, time = F.substring(utc, 1, 10), F.substring(utc, 12, 8)
+    return F.concat(day, F.lit("T"), time, F.lit("."), fraction, F.lit("Z"))

@@ -16,9 +16,6 @@ from sessora.operators.snapshots import session_snapshots
 from sessora.operators.state import ALL_COLUMNS
 from sessora.plans.folds import ROWS_PER_CHUNK, Fold, running
 
-#: Clears up to this many are looked up in an array; more are merged in by order.
-MAX_LOOKED_UP_CLEARS = 1000
-
 EPOCH_KEYS = ("session_id", "removals", "clears")
 
 
@@ -26,24 +23,17 @@ def session_epochs(
     events: DataFrame,
     controls: DataFrame,
     *,
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
-    max_looked_up_clears: int = MAX_LOOKED_UP_CLEARS,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Events with ``removals`` of their session and ``clears`` of all, before each event.
 
-    ``(session_id, removals, clears)`` names one life of a session.
+    ``(session_id, removals, clears)`` names one life of a session. Removals are counted along their
+    session, clears along the whole log, both by marks merged in by order, however many there are.
     """
     removals = controls.where(F.col("type") == S.REMOVE_SESSION)
     clears = controls.where(F.col("type") == S.CLEAR)
     merged = _with_marks(events, removals)
     epochs = _count_marks(merged, ["session_id"], "removals", rows_per_chunk)
-    # the size decides the plan, so it is checked now; the count stops at the limit
-    few = clears.limit(max_looked_up_clears + 1).count() <= max_looked_up_clears
-    if few:
-        keys = clears.agg(F.collect_list(F.struct(*S.ORDER))).scalar()
-        before = F.filter("_clears", lambda key: key < F.struct(*S.ORDER))
-        looked_up = epochs.withColumn("_clears", keys)
-        return looked_up.withColumn("clears", F.size(before).cast("long")).drop("_clears")
     return _count_marks(
         _with_marks(epochs, clears), [], "clears", rows_per_chunk, _with_marks(events, clears)
     )
@@ -58,7 +48,7 @@ def _count_marks(
     merged: DataFrame,
     keys: Sequence[str],
     name: str,
-    rows_per_chunk: int | None,
+    rows_per_chunk: int,
     same_rows: DataFrame | None = None,
 ) -> DataFrame:
     count = Fold(name, "sum", F.when(F.col("_mark"), 1).otherwise(0))
@@ -73,7 +63,7 @@ def running_state_with_removals(
     columns: Sequence[str] = ALL_COLUMNS,
     *,
     session_zero_quirk: bool = True,
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Session state after every event, starting over after each removal."""
     return running_session_state(

@@ -1,9 +1,9 @@
 """Look up or drop sessions by id.
 
-``ids`` is a sequence or a DataFrame with ``session_id``. Short sequences become an
-``IN`` filter, which Spark moves below the aggregations and windows to the scan. A
-DataFrame is joined without a hint: Spark broadcasts it only below its own size
-threshold and shuffles otherwise.
+``ids`` is a sequence or a DataFrame with ``session_id``; NULL ids match nothing, so a row without an
+id is never found and never removed. There is one plan, a join without a hint: Spark broadcasts the
+ids only below its own size threshold and shuffles otherwise. For a sequence a lookup also filters by
+``IN``, which reaches the scan and changes no result.
 """
 
 from __future__ import annotations
@@ -12,17 +12,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-_MAX_IN_LIST = 1000
-
 
 def _matching(table: DataFrame, ids: DataFrame | Sequence[int], how: str) -> DataFrame:
     if not isinstance(ids, DataFrame):
-        values = list(ids)
-        if len(values) <= _MAX_IN_LIST:
-            found = F.col("session_id").isin(*values)
-            return table.where(found if how == "left_semi" else ~found)
+        values = [v for v in ids if v is not None]
         ids = table.sparkSession.createDataFrame([(v,) for v in values], "session_id bigint")
-    return table.join(ids.select("session_id"), "session_id", how)
+        if how == "left_semi" and values:
+            table = table.where(F.col("session_id").isin(*values))
+    known = ids.select("session_id").where(F.col("session_id").isNotNull())
+    return table.join(known, "session_id", how)
 
 
 def lookup_session_snapshots(snapshots: DataFrame, ids: DataFrame | Sequence[int]) -> DataFrame:

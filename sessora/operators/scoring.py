@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,8 +80,10 @@ class ThresholdModel:
     def __call__(self, event_types: pd.Series, values: pd.Series) -> pd.DataFrame:
         errors_at = S.MESSAGE_FEATURES.index("error_count_total")
         is_message = event_types == S.MESSAGE_EVENT
-        errors = values.where(is_message).map(lambda v: v[errors_at], na_action="ignore")
-        attack = (errors.astype("float64") >= self.limit).fillna(False)
+        attack = pd.Series(False, index=values.index)
+        if is_message.any():
+            messages = np.stack(values[is_message].to_numpy())
+            attack[is_message] = messages[:, errors_at] >= self.limit
         return pd.DataFrame(
             {
                 "label": attack.map({True: "attack", False: S.CONSTANT_LABEL}),

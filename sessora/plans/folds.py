@@ -116,6 +116,8 @@ def running(
     """
     keys, order = list(keys), list(order)
     if rows_per_chunk is None:
+        if not keys:
+            raise ValueError("the whole table as one group must be split: give rows_per_chunk")
         return _local(df, keys, order, folds)
     source = df if same_rows is None else same_rows
     split_by = keys if split_keys is None else list(split_keys)
@@ -198,7 +200,15 @@ class _Fences:
         if not self.keys:
             return _with_chunk(df.withColumn("_fences", self.table.scalar()), self.order)
         how = "inner" if split_groups_only else "left"
-        return _with_chunk(df.join(F.broadcast(self.table), self.keys, how), self.order)
+        joined = _join_null_safe(df, self.table, self.keys, how)
+        return _with_chunk(joined, self.order)
+
+
+def _join_null_safe(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join a broadcast table by keys of which NULL is one value like any other."""
+    named = small.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return df.join(F.broadcast(named), same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def _blocks(points: Column) -> Column:
@@ -266,7 +276,7 @@ def _carry(
 def _combine(
     local: DataFrame, carry: DataFrame, keys: list[str], folds: Sequence[Fold]
 ) -> DataFrame:
-    joined = local.join(F.broadcast(carry), keys + [CHUNK], "left")
+    joined = _join_null_safe(local, carry, keys + [CHUNK], "left")
     columns: dict[str, Column] = {}
     for fold in folds:
         mine, earlier = F.col(fold.name), F.col(fold.name + _CARRY)

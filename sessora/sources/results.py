@@ -1,28 +1,36 @@
-"""The kept results table: parquet, appended to by batch jobs and streams."""
+"""The kept results table: parquet, written to by batch jobs and streams.
+
+Each writer has a run id and numbers its batches. Files lie under ``run=<id>/batch_id=<n>``, so a batch
+that is run again replaces itself and nothing else.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sessora import schemas as S
 
 _COLUMNS = [f.name for f in S.INFERENCE_RESULT.fields]
 
 
-def write_inference_results(results: DataFrame, path: str) -> None:
-    """Append a batch of results."""
-    results.select(*_COLUMNS, F.lit(-1).cast("long").alias("batch_id")).write.mode(
-        "append"
-    ).partitionBy("batch_id").parquet(path)
+def batch_folder(path: str, run: str, batch_id: int) -> str:
+    if not run or "/" in run:
+        raise ValueError("a run id must be a plain name")
+    return f"{path}/run={run}/batch_id={batch_id}"
+
+
+def write_inference_results(results: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
+    """Keep a batch of results. The same run and batch number again replaces it."""
+    results.select(*_COLUMNS).write.mode("overwrite").parquet(batch_folder(path, run, batch_id))
 
 
-def result_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function. A batch that is run again replaces its own rows."""
+def result_writer(path: str, run: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function. ``run`` names one checkpoint: a new checkpoint needs a new one."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*_COLUMNS).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        write_inference_results(batch, path, run, batch_id)
 
     return write
 

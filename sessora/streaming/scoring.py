@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sessora.operators.results import inference_session_state
 from sessora.operators.scoring import score_constant
 from sessora.operators.vectors import item_vector
-from sessora.sources.results import result_writer
+from sessora.sources.results import batch_folder, result_writer
 from sessora.streaming.sessions import stream_feature_items
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -43,39 +43,45 @@ def stream_score(
     path: str,
     checkpoint: str,
     *,
+    run: str,
     scorer: Scorer = score_constant,
     available_now: bool = False,
     **options,
 ) -> StreamingQuery:
-    """Events to items to scores to the results table at ``path``, in one query."""
+    """Events to items to scores to the results table at ``path``, in one query.
+
+    ``run`` names this checkpoint in the table; a new checkpoint needs a new one.
+    """
     results = results_of_items(stream_feature_items(events, **options), scorer)
-    writer = results.writeStream.foreachBatch(result_writer(path))
+    writer = results.writeStream.foreachBatch(result_writer(path, run))
     return _start(writer, checkpoint, available_now)
 
 
 def stream_inference_state(
-    results: DataFrame, path: str, checkpoint: str, *, available_now: bool = False
+    results: DataFrame, path: str, checkpoint: str, *, run: str, available_now: bool = False
 ) -> StreamingQuery:
     """Keep the per-session result state live.
 
     A built-in aggregation in update mode: it combines before the shuffle, so a busy
     session costs one row per task and micro-batch. Each micro-batch writes the sessions it
-    changed; read the newest with :func:`read_inference_state`.
+    changed; read the newest with :func:`read_inference_state`. ``run`` names this checkpoint; of two
+    runs, that with the later name is the newer one, so begin it with a time.
     """
     state = inference_session_state(results)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(batch_folder(path, run, batch_id))
 
     writer = state.writeStream.outputMode("update").foreachBatch(write)
     return _start(writer, checkpoint, available_now)
 
 
 def read_inference_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest written state of every session."""
-    written = spark.read.parquet(path)
-    columns = [c for c in written.columns if c not in ("batch_id", "session_id")]
-    newest = F.max_by(F.struct(*columns), "batch_id").alias("s")
+    """Newest written state of every session, that of the newest run in which it occurs."""
+    written = spark.read.option("inferPartitionTypes", False).parquet(path)
+    columns = [c for c in written.columns if c not in ("run", "batch_id", "session_id")]
+    version = F.struct(F.col("run").cast("string"), F.col("batch_id").cast("long"))
+    newest = F.max_by(F.struct(*columns), version).alias("s")
     return written.groupBy("session_id").agg(newest).select("session_id", "s.*")
 
 

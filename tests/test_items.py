@@ -16,7 +16,8 @@ from sessora.operators import snapshots as N
 from sessora.operators import vectors as V
 from sessora.plans import folds
 from sessora.sources import results as sink
-from sessora.sources.events import scan_network_events
+from sessora.functions.times import iso_utc
+from sessora.sources.events import scan_network_events, scan_rejects
 
 
 def test_golden_numbering(spark):
@@ -94,11 +95,67 @@ def test_result_state_goes_by_arrival(spark):
 
 def test_result_sinks(spark, tmp_path):
     path = str(tmp_path / "results")
-    sink.write_inference_results(_results(spark, [(1, 1, False)]), path)
-    write = sink.result_writer(path)
     for _ in range(2):  # a repeated batch replaces itself
-        write(_results(spark, [(1, 2, True), (2, 3, True)]), 0)
-    assert sink.read_inference_results(spark, path).count() == 3
+        sink.write_inference_results(_results(spark, [(1, 1, False)]), path, "job")
+        sink.result_writer(path, "first")(_results(spark, [(1, 2, True), (2, 3, True)]), 0)
+    sink.result_writer(path, "second")(_results(spark, [(3, 4, True)]), 0)  # a new checkpoint
+    assert sink.read_inference_results(spark, path).count() == 4
+
+
+def test_malformed_lines_are_no_events(spark, tmp_path):
+    good = '{"event_seq": 1, "mono_us": 5, "type": "RecvCompleted", "session_id": 9223372036854775807}'
+    lines = [
+        good,
+        "not json at all",
+        good.replace("9223372036854775807", "18446744073709551615").replace(": 1,", ": 2,"),
+        '{"event_seq": 3, "session_id": 1}',
+        '{"event_seq": "x", "mono_us": 5}',
+    ]
+    (tmp_path / "log.json").write_text("\n".join(lines))
+    path = str(tmp_path / "log.json")
+    kept = scan_network_events(spark, path, "json").collect()
+    assert [(r.event_seq, r.session_id) for r in kept] == [(1, 9223372036854775807)]
+    reasons = [r.reason for r in scan_rejects(spark, path, "json").collect()]
+    assert sorted(reasons) == ["corrupt", "corrupt", "no mono_us", "session_id too large"]
+
+
+@pytest.mark.parametrize("extra", [0, 1100])
+def test_lookups_do_not_depend_on_the_list(spark, extra):
+    table = spark.createDataFrame([(None,), (1,), (2,)], "session_id bigint")
+    more = list(range(100, 100 + extra))
+    ids = lambda f: sorted([r.session_id for r in f.collect()], key=str)
+    assert ids(L.remove_sessions(table, [1, *more])) == [2, None]
+    assert ids(L.remove_sessions(table, [1, None, *more])) == [2, None]
+    assert ids(L.lookup_session_snapshots(table, [1, None, *more])) == [1]
+    assert ids(L.lookup_session_snapshots(table, more)) == []
+    assert ids(L.remove_sessions(table, more)) == [1, 2, None]
+
+
+def test_iso_utc_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    texts = ["2024-01-01 00:00:00.072 UTC", "2024-03-31 02:30:00 UTC", "1999-12-31 23:59:59.999999 UTC"]
+    try:
+        for other in ("UTC", "Asia/Tokyo", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            rows = spark.createDataFrame([(t,) for t in texts], "t string")
+            found = rows.select(iso_utc(F.col("t").cast("timestamp")).alias("t")).collect()
+            assert [r.t for r in found] == [
+                "2024-01-01T00:00:00.072000Z", "2024-03-31T02:30:00.000000Z", "1999-12-31T23:59:59.999999Z",
+            ]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_null_groups_are_split(spark):
+    rows = spark.range(400).selectExpr("CASE WHEN id % 2 = 0 THEN 1 END AS k", "id AS at", "1 AS one")
+    fences = folds._Fences(rows, ["k"], ["at"], 10)
+    chunks = fences.assign(rows).groupBy("k").agg(F.countDistinct(folds.CHUNK).alias("n")).collect()
+    assert len(chunks) == 2 and all(r.n > 5 for r in chunks)
+    count = folds.Fold("n", "sum", F.col("one"))
+    found = folds.running(rows, ["k"], ["at"], [count], 10).collect()
+    assert all(r.n == r["at"] // 2 + 1 for r in found)
+    with pytest.raises(ValueError):
+        folds.running(rows, [], ["at"], [count], None)
 
 
 def test_scan_has_the_fixed_schema(spark, tmp_path):

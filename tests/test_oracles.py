@@ -6,8 +6,7 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry
-from oracle.queries import QUERIES
-from oracle.sql import ORACLES
+from oracle.registry import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

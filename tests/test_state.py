@@ -97,8 +97,7 @@ def test_request_index_is_gap_free(spark):
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by_session.values())
 
 
-@pytest.mark.parametrize("few_clears", [True, False])
-def test_removals_and_clears(spark, few_clears):
+def test_removals_and_clears(spark):
     rows = random_events(5, sessions=6)
     marks = [
         {**event(1_000_000 + i, S.REMOVE_SESSION, sid, us), "session_id": sid}
@@ -106,9 +105,7 @@ def test_removals_and_clears(spark, few_clears):
     ] + [{**event(2_000_000 + i, S.CLEAR, 0, us)} for i, us in enumerate([60_000, 150_250])]
     events = frame(spark, rows)
     controls = frame(spark, marks).select("type", "session_id", *S.ORDER)
-    epochs = P.session_epochs(
-        events, controls, rows_per_chunk=30, max_looked_up_clears=1000 if few_clears else 1
-    )
+    epochs = P.session_epochs(events, controls, rows_per_chunk=30)
     state = R.running_session_state(
         epochs, keys=P.EPOCH_KEYS, rows_per_chunk=30, split_rows=events
     )

@@ -74,7 +74,7 @@ def test_late_batches_apply_as_they_come(spark, tmp_path):
 def test_scores_and_result_state(spark, tmp_path, rows):
     stream = stream_of(spark, tmp_path / "in", [rows[:80], rows[80:]])
     out = str(tmp_path / "results")
-    query = XS.stream_score(stream, out, str(tmp_path / "cp"), available_now=True)
+    query = XS.stream_score(stream, out, str(tmp_path / "cp"), run="one", available_now=True)
     query.awaitTermination(300)
     assert query.exception() is None
     results = read_inference_results(spark, out)
@@ -84,7 +84,7 @@ def test_scores_and_result_state(spark, tmp_path, rows):
     live = spark.readStream.schema(S.INFERENCE_RESULT).parquet(out)
     live = live.select(*S.INFERENCE_RESULT.fieldNames())
     query = XS.stream_inference_state(
-        live, str(tmp_path / "state"), str(tmp_path / "cp2"), available_now=True
+        live, str(tmp_path / "state"), str(tmp_path / "cp2"), run="1", available_now=True
     )
     query.awaitTermination(300)
     kept = XS.read_inference_state(spark, str(tmp_path / "state"))
