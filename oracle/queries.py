@@ -32,6 +32,7 @@ from sessora.operators import scoring as C
 from sessora.operators import snapshots as N
 from sessora.operators import vectors as V
 from sessora.sources.adapter import adapt_events, adapt_packets
+from sessora.sources import events as SE
 from sessora.streaming import scoring as XS
 from sessora.streaming import sessions as XI
 
@@ -154,15 +155,12 @@ def _spread(vectors: DataFrame, keep: str, size: int) -> DataFrame:
 
 
 def _flat_items(items: DataFrame) -> DataFrame:
+    """Every field of both structs."""
     return items.select(
         *S.ORDER,
         "type",
-        F.col("message.session_id").alias("m_session_id"),
-        F.col("message.request_index").alias("m_request_index"),
-        F.col("message.message_interval_ms").alias("m_interval_ms"),
-        F.col("session.session_id").alias("s_session_id"),
-        F.col("session.request_count").alias("s_request_count"),
-        F.col("session.last_error_message").alias("s_last_error_message"),
+        *[F.col(f"message.{f}").alias(f"m_{f}") for f in S.MESSAGE_SNAPSHOT.fieldNames()],
+        *[F.col(f"session.{f}").alias(f"s_{f}") for f in S.SESSION_STATE.fieldNames()],
     )
 
 
@@ -471,12 +469,32 @@ def stream_session_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_items(spark.read.schema(items.schema).parquet(f"{folder}/out"))
 
 
+def stream_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals in the stream, and a clear in its table, over several micro-batches."""
+    XI.use_rocksdb(spark)
+    folder = run_folder(spark)
+    log = events(spark, sf_dir)
+    controls = removal_controls(log)[1]
+    is_removal = is_error() & (F.col("error_code") == 99)
+    marked = log.withColumn("type", F.when(is_removal, S.REMOVE_SESSION).otherwise(F.col("type")))
+    # files in the order of the log, one a micro-batch
+    cuts = [float("-inf"), *log.approxQuantile("mono_us", [1 / 3, 2 / 3], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        part = marked.where((F.col("mono_us") > low) & (F.col("mono_us") <= high))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = SE.stream_network_events(spark, f"{folder}/in", max_files_per_trigger=1)
+    items = XI.stream_feature_items(stream, clears=controls.where(F.col("type") == S.CLEAR))
+    XS.write_stream(items, f"{folder}/out", f"{folder}/cp", available_now=True).awaitTermination()
+    return _flat_items(spark.read.schema(items.schema).parquet(f"{folder}/out"))
+
+
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark)
     log = streamed_events(spark, sf_dir)
     XS.stream_score(log, f"{folder}/out", f"{folder}/cp", run="one", available_now=True).awaitTermination()
-    results = spark.read.schema(S.INFERENCE_RESULT).parquet(f"{folder}/out")
-    return results.select("session_id", "arrival_seq", "label", "received_event_type")
+    return spark.read.schema(S.INFERENCE_RESULT).parquet(f"{folder}/out").select(
+        *S.INFERENCE_RESULT.fieldNames()
+    )
 
 
 def stream_inference_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,6 +586,7 @@ QUERIES: dict[str, Query] = {
     "invalid_responses": invalid_responses,
     "stream_feature_items": stream_feature_items,
     "stream_session_removal": stream_session_removal,
+    "stream_clear": stream_clear,
     "stream_score": stream_score,
     "stream_inference_state": stream_inference_state,
 }

@@ -199,15 +199,28 @@ codes AS (
          ELSE '' END AS errors
   FROM broken)"""
 
-FLAT_ITEM = """
-  CASE WHEN {m} THEN session_id END AS m_session_id,
-  CASE WHEN {m} THEN request_count END AS m_request_index,
-  CASE WHEN {m} THEN last_message_interval_ms END AS m_interval_ms,
-  CASE WHEN NOT {m} THEN session_id END AS s_session_id,
-  CASE WHEN NOT {m} THEN request_count END AS s_request_count,
-  CASE WHEN NOT {m} THEN last_error_message END AS s_last_error_message,
-  CASE WHEN {m} THEN 'MessageSnapshot' ELSE 'SessionSummary' END AS type
-""".format(m="(type = 'PacketParsed')")
+_MESSAGE_OF_STATE = {
+    "message_wall_time": "wall_time",
+    "request_index": "request_count",
+    "message_interval_ms": "last_message_interval_ms",
+    "error_count_total": "error_count",
+}
+_MESSAGE_FIELDS = (
+    *("session_id", "socket_handle", "logic_worker_id", "message_wall_time", "request_index"),
+    *("packet_id", "packet_size", "payload_size", "connection_duration_ms", "message_interval_ms"),
+    *("bytes_received_total", "bytes_sent_total", "error_count_total"),
+)
+FLAT_ITEM = ",\n".join(
+    [
+        f"CASE WHEN type = 'PacketParsed' THEN {_MESSAGE_OF_STATE.get(f, f)} END AS m_{f}"
+        for f in _MESSAGE_FIELDS
+    ]
+    + [
+        f"CASE WHEN type <> 'PacketParsed' THEN {f.strip()} END AS s_{f.strip()}"
+        for f in STATE_COLUMNS.split(",")
+    ]
+    + ["CASE WHEN type = 'PacketParsed' THEN 'MessageSnapshot' ELSE 'SessionSummary' END AS type"]
+)
 
 _STATE_RESULT = """
   SELECT session_id,
@@ -388,9 +401,13 @@ for _split in ("running_session_state", "message_snapshots", "sequence_items", "
 ORACLES["items_from_events"] = ORACLES["feature_items"]
 ORACLES["stream_feature_items"] = ORACLES["feature_items"]
 ORACLES["stream_inference_state"] = ORACLES["inference_session_state"]
-ORACLES["stream_score"] = f"""{_SEQ} SELECT session_id, event_seq AS arrival_seq, 'normal' AS label,
+ORACLES["stream_score"] = f"""{_SEQ} SELECT session_id, event_seq AS arrival_seq,
+  wall_time AS received_wall_time, CAST(event_seq AS VARCHAR) AS request_id, 'normal' AS label,
+  false AS is_attack, CAST(0.5 AS DOUBLE) AS confidence, 'dummy-v0' AS model_version,
   CASE WHEN item_type = 'MessageSnapshot' THEN 'message' ELSE 'session_summary' END
     AS received_event_type FROM items"""
+ORACLES["stream_clear"] = f"""{_with(EV, CONTROLS, state("epochs", "st", "session_id, removals, clears"))}
+SELECT mono_us, event_seq, {FLAT_ITEM} FROM st WHERE type IN ('PacketParsed', 'SessionClosed')"""
 ORACLES["stream_session_removal"] = f"""{_with(EV, CONTROLS.split('counted AS (')[0].rstrip().rstrip(','))},
 counted AS (
   SELECT *, CAST(sum(mark) OVER (PARTITION BY session_id ORDER BY mono_us, event_seq

@@ -1,7 +1,7 @@
 """Feature items from a live event stream.
 
 State is kept per session id in the state store and never expires by itself; a
-``RemoveSession`` row or ``idle_ms`` deletes it. Within a micro-batch a session's events
+``RemoveSession`` row deletes it, and after a ``Clear`` a session starts over. Within a micro-batch a session's events
 are applied in ``(mono_us, event_seq)`` order, across micro-batches as they come, so the
 result equals the batch operators exactly when the input arrives in order. A late message
 can have a negative interval, which the payload rules then reject.
@@ -50,6 +50,7 @@ _NEW = {
     "payload_size": 0,
     "error_code": 0,
     "error_message": "",
+    "clears": 0,
 }
 _FIELDS = tuple(_NEW)
 _TYPES = {"closed": T.BooleanType(), "error_message": T.StringType()}
@@ -75,18 +76,28 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def stream_feature_items(
-    events: DataFrame, *, session_zero_quirk: bool = True, idle_ms: int | None = None
+    events: DataFrame, *, session_zero_quirk: bool = True, clears: DataFrame | None = None
 ) -> DataFrame:
     """Items as in :func:`sessora.operators.items.items_from_events`, from a stream.
 
     ``events`` are normalized and may hold ``RemoveSession`` rows. A stream has no global
     item number; number the written items in batch.
 
-    ``idle_ms`` switches the state store to processing time. Use it with a running trigger: an
-    ``availableNow`` run with it was seen not to end within minutes.
+    A clear concerns all sessions, so clears come as a table of their own (``mono_us``,
+    ``event_seq``), one row for each command given. Each event knows how many came before it, each
+    session how many it has seen. A ``Clear`` among the events fails the stream.
     """
-    used = events.where(F.col("type") != S.CLEAR).select(
+    misplaced = F.raise_error(F.lit("a Clear belongs into the table of clears"))
+    events = events.withColumn("type", F.when(F.col("type") == S.CLEAR, misplaced).otherwise(F.col("type")))
+    if clears is None:
+        events = events.withColumn("clears", F.lit(0))
+    else:
+        given = clears.agg(F.collect_list(F.struct(*S.ORDER)).alias("given"))
+        before = F.filter("given", lambda clear: clear < F.struct(*S.ORDER))
+        events = events.join(F.broadcast(given)).withColumn("clears", F.size(before))
+    used = events.select(
         "session_id",
+        "clears",
         *S.ORDER,
         "type",
         "socket_handle",
@@ -100,10 +111,10 @@ def stream_feature_items(
         "error_message",
     )
     state = used.groupBy("session_id").transformWithState(
-        SessionProcessor(session_zero_quirk, idle_ms),
+        SessionProcessor(session_zero_quirk),
         _OUTPUT,
         "Append",
-        "None" if idle_ms is None else "ProcessingTime",
+        "None",
     )
     return items_from_state(
         state.withColumns({name: F.timestamp_micros(name) for name in _WALL_TIMES})
@@ -113,12 +124,11 @@ def stream_feature_items(
 class SessionProcessor(StatefulProcessor):
     """Applies the session rules to one session's events and emits state at emitting events."""
 
-    def __init__(self, session_zero_quirk: bool, idle_ms: int | None) -> None:
+    def __init__(self, session_zero_quirk: bool) -> None:
         self.quirk = session_zero_quirk
-        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("session", _STATE, self.idle_ms)
+        self.kept = handle.getValueState("session", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         session_id = key[0]
@@ -127,7 +137,8 @@ class SessionProcessor(StatefulProcessor):
             if event.type == S.REMOVE_SESSION:
                 state = None
                 continue
-            state = dict(_NEW) if state is None else state
+            if state is None or event.clears > state["clears"]:
+                state = dict(_NEW, clears=event.clears)
             self._apply(state, event)
             if event.type in (S.PACKET_PARSED, S.SESSION_CLOSED):
                 yield self._row(session_id, state, event)
