@@ -150,7 +150,7 @@ def _placed(docs: DataFrame, rows: int) -> DataFrame:
     placed = keyed.withColumn("place", place("key")).withColumn("sent", F.explode(sent))
     return (
         placed.select("doc_id", "text", "sent.chunk", "sent.ahead", "key")
-        .repartition(chunks, "chunk")
+        .repartitionById(chunks, F.col("chunk").cast("int"))
         .sortWithinPartitions("chunk", "ahead", "key", F.xxhash64("text"))
     )
 

@@ -223,8 +223,6 @@ def test_lm_rows(spark, table):
         target, context, _ = tokens.rows([r.text])
         assert abs(found[r.doc_id].log_likelihood - network.log_likelihoods(target, context).sum()) < 1e-3
         assert found[r.doc_id].n_tokens == len(r.text.split())
-    shuffled = " ".join(random.Random(1).sample(r.text.split(), len(r.text.split())))
-    assert shuffled != r.text
 
 
 def test_lm_awkward(spark):
