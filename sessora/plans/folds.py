@@ -8,10 +8,10 @@ tasks, and :func:`final` to let Spark aggregate partially before the shuffle.
 
 How :func:`running` treats a group that holds a third of the table:
 
-1. *Split points.* A fixed hash of the order key picks a small sample; every
-   n-th sampled key of a group becomes a split point. Groups too small to reach
-   n samples get none. The hash depends on the row alone, so a retried task
-   cuts at the same places.
+1. *Split points.* A fixed hash of the order key picks a few rows per chunk, in
+   one pass; of the picked keys of a group, in order, every n-th becomes a split
+   point. Groups too small to reach n get none. The hash depends on the row
+   alone, so a retried task cuts at the same places.
 2. *Local fold.* Rows are shuffled once by ``(keys, chunk)``, sorted once, and
    folded by a window inside the chunk.
 3. *Carry.* For split groups only, one summary row per chunk is aggregated
@@ -19,8 +19,9 @@ How :func:`running` treats a group that holds a third of the table:
    gives each chunk the fold of everything before it.
 4. The carry is broadcast and added to the local result.
 
-Both broadcast tables hold at most :data:`MAX_SPLITS` entries, however large
-the data: past that, chunks grow instead of the number of split points.
+Both broadcast tables hold about an entry for each :data:`ROWS_PER_CHUNK` rows of
+the data: 250,000 of them, some 10 MB, for 10 ** 12 rows. Chunks do not grow with
+the data. No pass sorts or counts the sample in one task.
 """
 
 from __future__ import annotations
@@ -33,11 +34,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 #: Target rows of one chunk of a split group.
 ROWS_PER_CHUNK = 1 << 22
 
-#: Upper bound on split points over all groups of one query.
-MAX_SPLITS = 1 << 15
-
-#: Sampled keys per chunk; more makes chunk sizes more even.
-_SAMPLES_PER_CHUNK = 64
+#: Sampled keys per chunk; more makes chunk sizes more even, and the lists of keys longer.
+_SAMPLES_PER_CHUNK = 4
 
 CHUNK = "_chunk"
 
@@ -183,17 +181,11 @@ class _Fences:
         sample = source.select(*keys, *order)
         if every > 1:
             sample = sample.where(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0)
-        sampled = sample.agg(F.count(F.lit(1)).alias("n")).scalar()
-        # at most sampled / step points in all, hence at most MAX_SPLITS
-        step_column = F.greatest(F.lit(step), F.ceil(sampled / F.lit(MAX_SPLITS)))
-        rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
-        points = sample.withColumn("_rank", rank).where(F.col("_rank") % step_column == 0)
-        point = F.struct(*order)
-        if keys:
-            grouped = points.groupBy(*keys).agg(F.collect_list(point).alias("_points"))
-        else:
-            grouped = points.agg(F.collect_list(point).alias("_points"))
-        self.table = grouped.select(*keys, _blocks(F.col("_points")).alias("_fences"))
+        points = F.sort_array(F.collect_list(F.struct(*order)))
+        grouped = sample.groupBy(*keys).agg(points.alias("_points"))
+        kept = F.filter("_points", lambda _, i: i % step == step - 1)
+        thinned = grouped.select(*keys, kept.alias("_points")).where(F.size("_points") > 0)
+        self.table = thinned.select(*keys, _blocks(F.col("_points")).alias("_fences"))
 
     def assign(self, df: DataFrame, split_groups_only: bool = False) -> DataFrame:
         """Add ``CHUNK``: how many split points of its group lie at or before the row."""

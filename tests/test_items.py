@@ -35,9 +35,9 @@ def test_one_pass_items_equal_the_union(spark):
     assert sorted(map(str, union.collect())) == sorted(map(str, single.collect()))
 
 
-@pytest.mark.parametrize("max_splits", [1, 5, 1 << 15])
-def test_numbering_is_exact_whatever_the_split_bound(spark, monkeypatch, max_splits):
-    monkeypatch.setattr(folds, "MAX_SPLITS", max_splits)
+@pytest.mark.parametrize("samples", [1, 2, 64])
+def test_numbering_is_exact_wherever_it_splits(spark, monkeypatch, samples):
+    monkeypatch.setattr(folds, "_SAMPLES_PER_CHUNK", samples)
     log = frame(spark, random_events(7)).select(*S.ORDER)
     numbered = I.sequence_items(log, rows_per_chunk=3).collect()
     order = sorted(numbered, key=lambda r: (r.mono_us, r.event_seq))
