@@ -469,6 +469,25 @@ def stream_session_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_items(spark.read.schema(items.schema).parquet(f"{folder}/out"))
 
 
+def _in_batches(log: DataFrame, spans: list[tuple], folder: str) -> DataFrame:
+    """A stream that takes the events of each span of ``mono_us`` as a micro-batch, in this order."""
+    for low, high in spans:
+        part = log.where((F.col("mono_us") > low) & (F.col("mono_us") <= high))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return SE.stream_network_events(log.sparkSession, f"{folder}/in", max_files_per_trigger=1)
+
+
+def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of the log arrives first."""
+    XI.use_rocksdb(spark)
+    folder = run_folder(spark)
+    half = _BASE_US + 14 * 86_400_000_000
+    spans = [(half, float("inf")), (float("-inf"), half)]
+    items = XI.stream_feature_items(_in_batches(events(spark, sf_dir), spans, folder))
+    XS.write_stream(items, f"{folder}/out", f"{folder}/cp", available_now=True).awaitTermination()
+    return _flat_items(spark.read.schema(items.schema).parquet(f"{folder}/out"))
+
+
 def stream_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removals in the stream, and a clear in its table, over several micro-batches."""
     XI.use_rocksdb(spark)
@@ -477,12 +496,8 @@ def stream_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     controls = removal_controls(log)[1]
     is_removal = is_error() & (F.col("error_code") == 99)
     marked = log.withColumn("type", F.when(is_removal, S.REMOVE_SESSION).otherwise(F.col("type")))
-    # files in the order of the log, one a micro-batch
     cuts = [float("-inf"), *log.approxQuantile("mono_us", [1 / 3, 2 / 3], 0.01), float("inf")]
-    for low, high in zip(cuts, cuts[1:]):
-        part = marked.where((F.col("mono_us") > low) & (F.col("mono_us") <= high))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = SE.stream_network_events(spark, f"{folder}/in", max_files_per_trigger=1)
+    stream = _in_batches(marked, list(zip(cuts, cuts[1:])), folder)
     items = XI.stream_feature_items(stream, clears=controls.where(F.col("type") == S.CLEAR))
     XS.write_stream(items, f"{folder}/out", f"{folder}/cp", available_now=True).awaitTermination()
     return _flat_items(spark.read.schema(items.schema).parquet(f"{folder}/out"))
@@ -587,6 +602,7 @@ QUERIES: dict[str, Query] = {
     "stream_feature_items": stream_feature_items,
     "stream_session_removal": stream_session_removal,
     "stream_clear": stream_clear,
+    "stream_out_of_order": stream_out_of_order,
     "stream_score": stream_score,
     "stream_inference_state": stream_inference_state,
 }

@@ -32,12 +32,17 @@ ev AS (
   FROM raw_k)"""
 
 
-def state(source: str = "ev", name: str = "st", keys: str = "session_id") -> str:
-    """CTEs giving the session state after every row of ``source``."""
+def state(
+    source: str = "ev",
+    name: str = "st",
+    keys: str = "session_id",
+    order: str = "mono_us, event_seq",
+) -> str:
+    """CTEs giving the session state after every row of ``source``, applied in ``order``."""
     return f"""
 {name}_prev AS (
   SELECT *, last_value(CASE WHEN type = 'PacketParsed' THEN mono_us END IGNORE NULLS) OVER (
-           PARTITION BY {keys} ORDER BY mono_us, event_seq
+           PARTITION BY {keys} ORDER BY {order}
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_message_us
   FROM {source}),
 {name}_raw AS (
@@ -57,8 +62,8 @@ def state(source: str = "ev", name: str = "st", keys: str = "session_id") -> str
       AS bytes_sent_total,
     CAST(count(CASE WHEN type = 'PacketParsed' THEN 1 END) OVER c AS BIGINT) AS request_count,
     CAST(count(CASE WHEN type = 'ProtocolError' THEN 1 END) OVER c AS BIGINT) AS error_count,
-    min(CASE WHEN type = 'PacketParsed' THEN mono_us END) OVER c AS first_message_us,
-    max(CASE WHEN type = 'PacketParsed' THEN mono_us END) OVER c AS last_message_us,
+    first_value(CASE WHEN type = 'PacketParsed' THEN mono_us END IGNORE NULLS) OVER c AS first_message_us,
+    last_value(CASE WHEN type = 'PacketParsed' THEN mono_us END IGNORE NULLS) OVER c AS last_message_us,
     last_value(CASE WHEN type = 'PacketParsed'
       THEN coalesce((mono_us - prev_message_us) / CAST(1000.0 AS DOUBLE), 0.0) END IGNORE NULLS) OVER c AS gap_ms,
     last_value(CASE WHEN type = 'PacketParsed' OR (type = 'ProtocolError' AND packet_id >= 0)
@@ -70,7 +75,7 @@ def state(source: str = "ev", name: str = "st", keys: str = "session_id") -> str
     last_value(CASE WHEN type = 'ProtocolError' THEN error_code END IGNORE NULLS) OVER c AS ecode,
     last_value(CASE WHEN type = 'ProtocolError' THEN error_message END IGNORE NULLS) OVER c AS etext
   FROM {name}_prev
-  WINDOW c AS (PARTITION BY {keys} ORDER BY mono_us, event_seq
+  WINDOW c AS (PARTITION BY {keys} ORDER BY {order}
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 {name} AS (
   SELECT mono_us, event_seq, type, {keys}, socket_handle, logic_worker_id, wall_time,
@@ -406,6 +411,11 @@ ORACLES["stream_score"] = f"""{_SEQ} SELECT session_id, event_seq AS arrival_seq
   false AS is_attack, CAST(0.5 AS DOUBLE) AS confidence, 'dummy-v0' AS model_version,
   CASE WHEN item_type = 'MessageSnapshot' THEN 'message' ELSE 'session_summary' END
     AS received_event_type FROM items"""
+_LATE = """late AS (
+  SELECT *, CASE WHEN mono_us > epoch_us(TIMESTAMP '2024-01-15 00:00:00') THEN 0 ELSE 1 END AS arrival
+  FROM ev)"""
+ORACLES["stream_out_of_order"] = f"""{_with(EV, _LATE, state("late", order="arrival, mono_us, event_seq"))}
+SELECT mono_us, event_seq, {FLAT_ITEM} FROM st WHERE type IN ('PacketParsed', 'SessionClosed')"""
 ORACLES["stream_clear"] = f"""{_with(EV, CONTROLS, state("epochs", "st", "session_id, removals, clears"))}
 SELECT mono_us, event_seq, {FLAT_ITEM} FROM st WHERE type IN ('PacketParsed', 'SessionClosed')"""
 ORACLES["stream_session_removal"] = f"""{_with(EV, CONTROLS.split('counted AS (')[0].rstrip().rstrip(','))},
