@@ -24,6 +24,10 @@ END_ID = 2
 MAX_TOKENS = 4096
 CACHED_WORDS = 700_000  # of the memo that a Python worker keeps
 
+_LETTERS = bytes(i for i in range(256) if chr(i).isalpha())
+_SIMPLE = _LETTERS + b"0123456789 \n.,"
+_MARK_PAIRS = ("..", ".,", ",.", ",,")
+
 
 def cuts(n: int, max_tokens: int = MAX_TOKENS) -> list[int]:
     """Lengths of the pieces of n ids, longest first. max_tokens is a power of two."""
@@ -84,14 +88,18 @@ class WordEncoder:
 
     @staticmethod
     def _plain(text: str) -> str:
-        """Lower case beforehand where that is certain to be what the tokenizer does itself."""
+        """The text in a form that has fewer distinct words, where the ids are certain to be the same:
+        in lower case, as the tokenizer makes it itself, and with blanks before marks, where it cuts."""
         if "<|" in text:
             return text  # special tokens are matched as written
         try:
-            text.encode("latin-1")
+            data = text.encode("latin-1")
         except UnicodeEncodeError:
             return text
-        return text.lower()
+        text = text.lower()
+        if data.translate(None, _SIMPLE) or any(pair in text for pair in _MARK_PAIRS):
+            return text  # a mark after a mark belongs to it
+        return text.replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
 
 
 @functools.cache
