@@ -92,9 +92,9 @@ def stream_feature_items(
     if clears is None:
         events = events.withColumn("clears", F.lit(0))
     else:
-        given = clears.agg(F.collect_list(F.struct(*S.ORDER)).alias("given"))
-        before = F.filter("given", lambda clear: clear < F.struct(*S.ORDER))
-        events = events.join(F.broadcast(given)).withColumn("clears", F.size(before))
+        given = clears.agg(F.collect_list(F.struct(*S.ORDER))).scalar()
+        before = F.filter("_given", lambda clear: clear < F.struct(*S.ORDER))
+        events = events.withColumn("_given", given).withColumn("clears", F.size(before))
     used = events.select(
         "session_id",
         "clears",
