@@ -116,8 +116,7 @@ def broken_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(fault == 5, F.replace(text, F.lit('"socket_handle":'), F.lit('"socket_handle":0.')))
         .otherwise(text)
     )
-    payloads = J.message_payloads(items).unionByName(J.session_payloads(items))
-    return payloads.withColumn("value", value)
+    return J.item_payloads(items).withColumn("value", value)
 
 
 def run_folder(spark: SparkSession) -> str:

@@ -113,8 +113,15 @@ _REQUEST_COLUMN = {S.MESSAGE_EVENT: "message_request", S.SESSION_EVENT: "session
 # ---------------------------------------------------------------------------
 
 
-def _payloads(items: DataFrame, item: str, event: str, source: str, time: str) -> DataFrame:
-    """``queue_sequence_id`` and the JSON ``value`` of the items of one kind."""
+_ITEMS = {
+    S.MESSAGE_ITEM: (S.MESSAGE_EVENT, "message", "message_wall_time"),
+    S.SESSION_ITEM: (S.SESSION_EVENT, "session", "last_event_wall_time"),
+}
+
+
+def _body(item: str) -> Column:
+    """JSON request of an item of one kind."""
+    event, source, time = _ITEMS[item]
     groups: dict[str, list[Column]] = {}
     for field in PAYLOAD_FIELDS[event]:
         if field.group:
@@ -127,18 +134,26 @@ def _payloads(items: DataFrame, item: str, event: str, source: str, time: str) -
         iso_utc(F.col(f"{source}.{time}")).alias("timestamp"),
         *[F.struct(*columns).alias(group) for group, columns in groups.items()],
     )
-    chosen = items.where(F.col("type") == item)
-    return chosen.select("queue_sequence_id", F.to_json(body).alias("value"))
+    return F.to_json(body)
+
+
+def item_payloads(items: DataFrame) -> DataFrame:
+    """``queue_sequence_id`` and the JSON request of items of both kinds, in one pass."""
+    kind = F.col("type")
+    value = F.when(kind == S.MESSAGE_ITEM, _body(S.MESSAGE_ITEM)).when(
+        kind == S.SESSION_ITEM, _body(S.SESSION_ITEM)
+    )
+    return items.where(kind.isin(*_ITEMS)).select("queue_sequence_id", value.alias("value"))
 
 
 def message_payloads(items: DataFrame) -> DataFrame:
     """JSON requests of the message items."""
-    return _payloads(items, S.MESSAGE_ITEM, S.MESSAGE_EVENT, "message", "message_wall_time")
+    return item_payloads(items.where(F.col("type") == S.MESSAGE_ITEM))
 
 
 def session_payloads(items: DataFrame) -> DataFrame:
     """JSON requests of the session summary items."""
-    return _payloads(items, S.SESSION_ITEM, S.SESSION_EVENT, "session", "last_event_wall_time")
+    return item_payloads(items.where(F.col("type") == S.SESSION_ITEM))
 
 
 # ---------------------------------------------------------------------------

@@ -112,7 +112,9 @@ def golden_items(spark):
 
 def test_round_trip_and_vectors(spark):
     items = golden_items(spark)
-    written = J.message_payloads(items).unionByName(J.session_payloads(items))
+    written = J.item_payloads(items)
+    union = J.message_payloads(items).unionByName(J.session_payloads(items))
+    assert sorted(map(str, written.collect())) == sorted(map(str, union.collect()))
     parsed = J.validate_payloads(J.parse_payloads(written.select("value")))
     accepted, rejected = J.split_payloads(parsed)
     assert rejected.count() == 0
