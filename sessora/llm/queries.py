@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from sessora.llm import (
@@ -75,7 +75,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity.score(texts_of(docs), toxicity.fit(docs, labels(spark, sf_dir)))
+    found = toxicity.score(texts_of(docs), toxicity.fit(docs, labels(spark, sf_dir)))
+    return found.select("doc_id", (F.col("predicted") == 1).alias("toxic"), *found.columns[1:])
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
