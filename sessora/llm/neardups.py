@@ -31,7 +31,7 @@ from sessora.llm.shingles import banding, bands, jaccard_parts, shingle_sets, si
 
 BROADCAST_IDS = 1_000_000  # 8 MB; beyond it a shuffle join
 LEADERS = 256  # a bucket in the second round; four times as many in each further one
-CUT_ROWS = 20_000  # nodes of a bucket that stream through one task
+CUT_ROWS = 1_000  # nodes of a bucket that stream through one task, past its leaders
 _MATRIX = 8_000_000  # cells of a block of leaders
 
 

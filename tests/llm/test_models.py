@@ -310,7 +310,7 @@ def chains(rng):
     return [(i, t) for i, t in enumerate(data)]
 
 
-@pytest.mark.parametrize("leaders,cut", [(2, 7), (256, 20_000)])
+@pytest.mark.parametrize("leaders,cut", [(2, 7), (256, 1_000)])
 def test_rounds_lose_no_link(spark, monkeypatch, leaders, cut):
     monkeypatch.setattr(neardups, "LEADERS", leaders)
     monkeypatch.setattr(neardups, "CUT_ROWS", cut)
