@@ -207,12 +207,9 @@ def _context_sums(table: dict[str, int]) -> dict[str, tuple[int, int]]:
     return sums
 
 
-def kneser_ney(counts: dict[str, int], alphabet: int) -> Callable[[str], float]:
-    """p(last character | the ones before) of a gram of any order up to ORDER."""
-    return _Language(counts, alphabet).probability
-
-
 class _Language:
+    """Interpolated Kneser-Ney of one language: p(last character | the ones before) of any gram."""
+
     def __init__(self, counts: dict[str, int], alphabet: int):
         self.tables = _tables(counts)
         self.sums = [_context_sums(t) for t in self.tables]

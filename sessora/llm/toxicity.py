@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from sessora.llm.common import map_texts, texts_of
 
 SAMPLE_ROWS = 20_000
-WORDS = 600
+WORDS = 400
 BEGINNINGS = (6, 8)  # letters
 LEAST_DOCS = 5
 FOLDS = 4
@@ -86,9 +86,10 @@ def _with_constant(features: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return np.concatenate([features, earlier, np.ones((len(features), 1))], axis=1)
 
 
-def train(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 25) -> np.ndarray:
-    """Logistic regression by Newton steps; the last column is a constant, free of penalty."""
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+def train(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = PENALTY, steps: int = 15) -> np.ndarray:
+    """Logistic regression by Newton steps on rows that stand for `n` each; the last column is a
+    constant, free of penalty."""
+    share = np.clip((y * n).sum() / n.sum(), 1e-6, 1 - 1e-6)
     w = np.zeros(x.shape[1])
     w[-1] = np.log(share / (1 - share))
     if y.min() == y.max():
@@ -97,26 +98,39 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 2
     ridge[-1] = 1e-6
     for _ in range(steps):
         p = _logistic(x @ w)
-        curve = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * curve[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        curve = n * np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve((x * curve[:, None]).T @ x + np.diag(ridge), x.T @ (n * (y - p)) - ridge * w)
         w += step
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
 
 def train_chain(features: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """Weights by category; labels has a column for each, folds a number for each row."""
+    """Weights by category; labels has a column for each, folds a number for each row.
+
+    Equal rows, most often those without any chosen word, are computed once and counted.
+    """
+    whole = np.concatenate([features, labels, folds[:, None]], axis=1)
+    places: dict[bytes, int] = {}
+    counts: list[int] = []
+    first = []
+    for i, row in enumerate(whole):
+        if (at := places.setdefault(row.tobytes(), len(first))) == len(first):
+            first.append(i)
+            counts.append(0)
+        counts[at] += 1
+    features, labels, folds, n = features[first], labels[first], folds[first], np.array(counts, float)
     earlier = np.zeros((len(features), 0))
     weights = []
     for y in labels.T:
         x = _with_constant(features, earlier)
-        weights.append(train(x, y))
+        weights.append(train(x, y, n))
         unseen = np.zeros(len(y))
         for k in range(FOLDS):
             out = folds == k
             if out.any() and not out.all():
-                unseen[out] = _logistic(x[out] @ train(x[~out], y[~out]))
+                unseen[out] = _logistic(x[out] @ train(x[~out], y[~out], n[~out]))
         earlier = np.concatenate([earlier, unseen[:, None]], axis=1)
     return weights
 
