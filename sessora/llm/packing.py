@@ -22,7 +22,7 @@ from sessora.llm.common import map_texts
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 MAX_TOKENS = 4096
-CACHED_WORDS = 600_000  # of the memo that a Python worker keeps
+CACHED_WORDS = 750_000  # of the memo that a Python worker keeps
 
 _LETTERS = bytes(i for i in range(256) if chr(i).isalpha())
 _SIMPLE = _LETTERS + b"0123456789 \n.,"
