@@ -45,8 +45,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts_of(documents(spark, sf_dir))
-    return scoring.score(docs, scoring.fit(docs))
+    return scoring.score_corpus(documents(spark, sf_dir))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,31 @@ def test_lm_awkward(spark):
     assert scoring.score(empty(spark), none).count() == 0 and scoring.score(frame, none).count() == len(rows())
 
 
+def test_lm_gives_every_word_a_probability(spark):
+    """Words beyond those with a token of their own, alike in ending, differ by their counts."""
+    rng = random.Random(4)
+    usual = [f"w{i}" for i in range(scoring.WORDS)] * 4
+    data = [(i, " ".join(rng.choices(usual, k=60) + ["walking"] * (i % 4 == 0)), "en", "s", 0) for i in range(60)]
+    data += [(100, "w1 w2 walking w3 w4", "en", "s", 0), (101, "w1 w2 zqxvjing w3 w4", "en", "s", 0)]
+    frame = docs(spark, [*data, (102, None, "en", "s", 0), (None, "w1 w2 walking", "en", "s", 0)])
+    network = scoring.fit(frame)
+    found = {r.doc_id: r for r in scoring.score_corpus(frame).collect()}
+    assert len(found) == 64 and found[102].log_likelihood == 0 and found[102].mean_log_likelihood is None
+    # before, both had the probability of the bucket
+    counts = Counter(w for r in frame.collect() for w in (r.text or "").split())
+    gap = math.log(counts["walking"] / counts["zqxvjing"])
+    assert abs(found[100].log_likelihood - found[101].log_likelihood - gap) < 1e-3
+    tokens = scoring.Tokens(network.words)
+    sums = Counter()
+    for w, n in counts.items():
+        sums[int(tokens.of(w)[0])] += n
+    assert all(network.totals[t] == n for t, n in sums.items()) and network.totals.sum() == counts.total()
+    target, context, _ = tokens.rows([data[-1][1]])
+    token = int(tokens.of("zqxvjing")[0])
+    plain = network.log_likelihoods(target, context).sum() + math.log(1 / sums[token])
+    assert abs(found[101].log_likelihood - plain) < 1e-3
+
+
 # --- near-duplicates
 
 
