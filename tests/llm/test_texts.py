@@ -203,6 +203,24 @@ def test_entropy_finds_keys_and_leaves_words():
         assert secrets.find_spans(clean) == []
 
 
+@pytest.mark.parametrize("length", [20, 24, 40, 64])
+def test_random_keys_are_found_whole(length):
+    """As many as have a window of high entropy; before, keys with few digits were missed or cut."""
+    rng = random.Random(length)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters + letters.upper() + "0123456789+/", letters + letters.upper(), letters):
+        keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(1000)]
+        whole = sum(secrets.redact(f"use {k} now") == f"use {secrets.REDACTED} now" for k in keys)
+        assert whole >= 0.99 * sum(max(secrets.entropy_windows(k, 20)) >= 3.65 for k in keys)
+
+
+def test_compound_words_are_no_keys():
+    for clean in ("getHttpResponseCodeFromServer", "a_rather_long_function_name_of_words",
+                  "Donaudampfschifffahrtsgesellschaft", "order-number-1234567890123456789012",
+                  "src/main/resources/templates/index", "anticonstitutionnellement"):
+        assert secrets.find_spans(clean) == []
+
+
 def test_redacted_keeps_rows_and_columns(spark):
     frame = clashing(docs(spark), "spans", "kind")
     clean = secrets.redacted(frame)
