@@ -4,9 +4,10 @@ One model per language over letters in lower case, every run of other characters
 Counts of 4-grams come from a sample of the learned rows, at most about `sample_chars` characters a
 language, chosen by a hash of the id; lower orders use continuation counts. All languages share sorted
 arrays of n-gram hashes, with a log-probability per language in each row, so a text is looked up once.
-The language of the lowest cross-entropy per character wins. Two calibrations use other learned rows:
-the score (0 to 1) is a logistic function of the distance to the second language, and a text whose
-cross-entropy lies far above what its language shows is marked `rejected`.
+The language of the lowest cross-entropy per character wins. Two calibrations use all learned rows outside the
+sample, of which a share is kept for them: the score (0 to 1) is a logistic function of the distance to the second
+language, and a text whose cross-entropy lies far above what its language shows is marked `rejected`. A language
+with few such rows has the limit of all languages; with few in all, the limit is that of characters drawn blindly.
 
 Null, empty and letterless texts are `und`, score 0, rejected. Texts are read whole, at any length.
 Without a learned row every text is `und` and nothing is rejected. Rows are independent; ties go to
@@ -21,16 +22,17 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sessora.llm.common import codepoints, learned, map_texts, slices, splitmix
+from sessora.llm.common import codepoints, learned, map_texts, shared_folder, slices, splitmix
 
 ORDER = 4
 MODULUS, HELD_OUT = 4, 2
 SAMPLE_CHARS = 1_500_000  # a language, expected
-CALIBRATION_DOCS = 4_000  # expected
+CALIBRATION_SHARE = 1 / 8  # of the learned rows of a language of at least FEW_DOCS, never sampled
+FEW_DOCS = 16
+FEW_CHECKED = 20  # rows below which a language has no limit of its own
 UNKNOWN = "und"
 SHORT_TEXT = 10.0  # nats, over the root of a text's length: how far chance raises its cross-entropy
 _BITS = 52
@@ -302,52 +304,67 @@ def count_grams(sample: DataFrame) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(
-    docs: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_docs: int = CALIBRATION_DOCS
-) -> Models:
-    """Models of the languages of `docs`, learned from a bounded sample of the rows that may be learned."""
+def split(docs: DataFrame, sample_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Of the rows that may be learned: the sample (text, lang), and the rows outside it (doc_id, text, lang)."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
         learned(MODULUS, HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = usable.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"))
-    known = {r.lang: (r.chars or 0, r.n) for r in sizes.collect()}
-    if not known:
-        return build({})
-    share = F.lit(0.0)
-    for lang, (chars, _) in known.items():
-        share = F.when(F.col("lang") == lang, sample_chars / max(chars, 1)).otherwise(share)
-    chosen = usable.where(_share(1) < share)
-    table = count_grams(chosen).toPandas()
+    free = _share(2) >= CALIBRATION_SHARE
+    length = F.length("text")
+    sums = {"n": F.count("*"), "chars": F.sum(length), "free": F.sum(F.when(free, length))}
+    share, may = F.lit(0.0), free
+    for r in usable.groupBy("lang").agg(*[v.alias(k) for k, v in sums.items()]).collect():
+        own = F.col("lang") == r.lang
+        chars = r.chars if r.n < FEW_DOCS else r.free
+        share = F.when(own, sample_chars / max(chars or 0, 1)).otherwise(share)
+        if r.n < FEW_DOCS:
+            may = may | own
+    drawn = usable.withColumn("drawn", may & (_share(1) < share))
+    return drawn.where("drawn").select("text", "lang"), drawn.where("not drawn").drop("drawn")
+
+
+def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
+    """Models of the languages of `docs`, learned from a bounded sample of the rows that may be learned."""
+    sample, others = split(docs, sample_chars)
+    table = count_grams(sample).toPandas()
     counts = {
         lang: dict(zip(part["gram"], part["n"].astype(int))) for lang, part in table.groupby("lang")
     }
     models = build(counts)
     if not models.languages:
         return models
-    rows = sum(n for _, n in known.values())
-    checked = predict(usable.where(_share(2) < calibration_docs / rows), models, keep=("lang",))
-    return calibrate(models, checked.select("lang", "lang_pred", "entropy", "margin").toPandas())
+    checked = predict(others, models, keep=("lang",)).select("lang", "lang_pred", "entropy", "margin")
+    folder = f"{shared_folder(docs.sparkSession)}/checked"
+    checked.where("entropy is not null").write.parquet(folder)
+    return calibrate(models, docs.sparkSession.read.schema(checked.schema).parquet(folder))
 
 
-def calibrate(models: Models, seen: pd.DataFrame) -> Models:
+def calibrate(models: Models, seen: DataFrame) -> Models:
     """Logistic score of the margin; per language, a limit far above the entropies of its own rows."""
-    seen = seen.dropna()
-    models.limits = np.full(len(models.languages), np.inf)
-    if len(seen) < 20:
+    found = seen.rollup("lang_pred").agg(
+        F.count("*").alias("n"),
+        F.stddev_pop("entropy").alias("deviation"),
+        F.percentile_approx("entropy", 0.995, 10_000).alias("high"),
+    )
+    limits = {r.lang_pred: r.high + 3 * r.deviation + 1.0 for r in found.collect() if r.n >= FEW_CHECKED}
+    pooled = limits.get(None, -float(models.unseen[0]))
+    models.limits = np.array([limits.get(lang, pooled) for lang in models.languages])
+    steps = seen.select(
+        F.round(F.least("margin", F.lit(5.0)), 3).alias("margin"),
+        (F.col("lang") == F.col("lang_pred")).cast("double").alias("right"),
+    )
+    bins = steps.groupBy("margin", "right").count().orderBy("margin", "right").toPandas()
+    n = bins["count"].to_numpy(float)
+    if n.sum() < FEW_CHECKED:
         return models
-    right = (seen["lang"] == seen["lang_pred"]).to_numpy(float)
-    x = np.stack([seen["margin"].to_numpy(float), np.ones(len(seen))], 1)
-    target = (right * len(right) + 0.5) / (len(right) + 1)  # keeps the fit finite
+    x = np.stack([bins["margin"].to_numpy(float), np.ones(len(bins))], 1)
+    target = (bins["right"].to_numpy(float) * n.sum() + 0.5) / (n.sum() + 1)  # keeps the fit finite
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w += np.linalg.solve(hessian, x.T @ (target - p) - 1e-3 * w)
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        w += np.linalg.solve(hessian, x.T @ (n * (target - p)) - 1e-3 * w)
     models.slope, models.offset = max(float(w[0]), 0.0), float(w[1])
-    for i, lang in enumerate(models.languages):
-        own = seen.loc[seen["lang_pred"] == lang, "entropy"].to_numpy(float)
-        if len(own) >= 20:
-            models.limits[i] = np.quantile(own, 0.995) + 3 * own.std() + 1.0
     return models
 
 

@@ -152,6 +152,27 @@ def test_languages_awkward(spark, table):
     assert languages.predict(empty(spark), models).count() == 0
 
 
+def language_rows(rng, lang, n, first, words):
+    return [(first + i, " ".join(rng.choices(words, k=60)), lang, "s", 0) for i in range(n)]
+
+
+def test_languages_all_have_a_limit(spark):
+    """Before, a language of few rows, and every language of a small table, rejected nothing."""
+    rng = random.Random(8)
+    rare = language_rows(rng, "bb", 8, 9000, ["ovo", "uvu", "vovu", "luvo"])
+    data = language_rows(rng, "aa", 500, 0, ["banana", "cabana", "bandana", "panama", "drama"]) + rare
+    strange = docs(spark, [(1, "uxq ovwz gjy kzqx ghwv " * 40, None, None, None)])
+    for rows_ in (data, rare):
+        models = languages.fit(docs(spark, rows_))
+        assert np.isfinite(models.limits).all() and models.languages == sorted({r[2] for r in rows_})
+        assert languages.predict(strange, models).first().rejected
+        kept = languages.predict(docs(spark, rows_), models).where("not rejected").count()
+        assert kept >= 0.99 * len(rows_)
+    sample, others = languages.split(docs(spark, data), 10**9)
+    texts = {r.text for r in sample.collect()}
+    assert others.count() and not any(r.text in texts for r in others.collect())
+
+
 # --- toxicity
 
 
