@@ -2,7 +2,8 @@
 
 One model per language over letters in lower case, every run of other characters read as one blank.
 Counts of 4-grams come from a sample of the learned rows, at most about `sample_chars` characters a
-language, chosen by a hash of the id; lower orders use continuation counts. All languages share sorted
+language, chosen in pieces of texts by a hash of the id and the piece's number, so that a long text counts like
+many short ones; lower orders use continuation counts. All languages share sorted
 arrays of n-gram hashes, with a log-probability per language in each row, so a text is looked up once.
 The language of the lowest cross-entropy per character wins. Two calibrations use all learned rows outside the
 sample, of which a share is kept for them: the score (0 to 1) is a logistic function of the distance to the second
@@ -32,6 +33,7 @@ MODULUS, HELD_OUT = 4, 2
 SAMPLE_CHARS = 1_500_000  # a language, expected
 CALIBRATION_SHARE = 1 / 8  # of the learned rows of a language of at least FEW_DOCS, never sampled
 FEW_DOCS = 16
+PIECE = 2_000  # characters that the sample takes or leaves
 FEW_CHECKED = 20  # rows below which a language has no limit of its own
 UNKNOWN = "und"
 SHORT_TEXT = 10.0  # nats, over the root of a text's length: how far chance raises its cross-entropy
@@ -272,9 +274,29 @@ def _sorted_rows(grams: list[str], values: list, width: int) -> tuple[np.ndarray
     return hashes[order], np.array(values, np.float32).reshape(len(grams), width)[order]
 
 
-def _share(seed: int) -> Column:
+def _share(seed: int, *more: Column) -> Column:
     """A number in [0, 1) by hash of the id."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return F.pmod(F.xxhash64("doc_id", *more, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _cut(chosen: DataFrame) -> DataFrame:
+    """(text, lang) of the pieces numbered in `drawn`, neighbours in one."""
+
+    def run(batches):
+        for batch in slices(batches):
+            texts, langs = [], []
+            for text, lang, drawn in zip(*[batch.column(c).to_pylist() for c in ("text", "lang", "drawn")]):
+                first = 0
+                for i in range(1, len(drawn) + 1):
+                    if i == len(drawn) or drawn[i] != drawn[i - 1] + 1:
+                        texts.append(text[drawn[first] * PIECE : (drawn[i - 1] + 1) * PIECE])
+                        langs.append(lang)
+                        first = i
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()), pa.array(langs, pa.string())], names=["text", "lang"]
+            )
+
+    return chosen.select("text", "lang", "drawn").mapInArrow(run, "text string, lang string")
 
 
 def count_grams(sample: DataFrame) -> DataFrame:
@@ -319,8 +341,12 @@ def split(docs: DataFrame, sample_chars: int) -> tuple[DataFrame, DataFrame]:
         share = F.when(own, sample_chars / max(chars or 0, 1)).otherwise(share)
         if r.n < FEW_DOCS:
             may = may | own
-    drawn = usable.withColumn("drawn", may & (_share(1) < share))
-    return drawn.where("drawn").select("text", "lang"), drawn.where("not drawn").drop("drawn")
+    last = F.greatest(F.ceil(length / PIECE).cast("int") - 1, F.lit(0))
+    ruled = usable.withColumns({"share": F.when(may, share).otherwise(0.0), "last": last})
+    numbers = F.filter(F.sequence(F.lit(0), "last"), lambda k: _share(1, k) < F.col("share"))
+    drawn = ruled.withColumn("drawn", numbers)
+    inside = F.size("drawn") > 0
+    return _cut(drawn.where(inside)), drawn.where(~inside).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
@@ -333,6 +359,7 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
     models = build(counts)
     if not models.languages:
         return models
+    # a learned language without a model has no letter in its sampled pieces
     checked = predict(others, models, keep=("lang",)).select("lang", "lang_pred", "entropy", "margin")
     folder = f"{shared_folder(docs.sparkSession)}/checked"
     checked.where("entropy is not null").write.parquet(folder)

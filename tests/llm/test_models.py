@@ -173,6 +173,25 @@ def test_languages_all_have_a_limit(spark):
     assert others.count() and not any(r.text in texts for r in others.collect())
 
 
+def test_language_sample_takes_pieces(spark):
+    """Before, one very long document was taken whole or pushed out all others of its language."""
+    rng = random.Random(9)
+    words = ["ovo", "uvu", "vovu", "luvo"]
+    data = language_rows(rng, "aa", 300, 0, ["banana", "cabana", "bandana"])
+    data += language_rows(rng, "bb", 29, 9000, words)
+    giants = [n for n in range(9100, 9200) if zlib.crc32(str(n).encode()) % 4 != 2]
+    for giant in giants[:4]:
+        frame = docs(spark, [*data, (giant, " ".join(rng.choices(words, k=200_000)), "bb", "s", 0)])
+        sample, _ = languages.split(frame, 100_000)
+        chars = Counter()
+        for r in sample.collect():
+            chars[r.lang] += len(r.text)
+        assert set(chars) == {"aa", "bb"} and chars["bb"] <= 150_000
+    assert languages.fit(frame, 100_000).languages == ["aa", "bb"]
+    whole, _ = languages.split(docs(spark, [(giants[0], "é" * 4_500, "bb", "s", 0)]), 10**9)
+    assert [r.text for r in whole.collect()] == ["é" * 4_500]
+
+
 # --- toxicity
 
 
