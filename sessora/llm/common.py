@@ -99,6 +99,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame, computed once into Parquet in the shared folder; its columns are read as needed."""
+    path = shared_folder(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def splitmix(values: np.ndarray) -> np.ndarray:
     """A fixed bijective mix of 64-bit integers."""
     with np.errstate(over="ignore"):
