@@ -19,6 +19,7 @@ from sessora.llm import (
     quality,
     scoring,
     secrets,
+    shards,
     toxicity,
 )
 from sessora.llm.common import held_out, texts_of
@@ -84,6 +85,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(documents(spark, sf_dir))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(documents(spark, sf_dir)).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return dialogues.repair(dialogues.damaged(rows))
@@ -105,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_sharding": op11_sharding,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
