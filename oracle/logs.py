@@ -16,6 +16,7 @@ from sessora.sources import events as SE
 from sessora.sources import payloads as SP
 from sessora.sources import results as SR
 from sessora.sources.adapter import adapt_events
+from sessora.streaming import ingest as XG
 from sessora.streaming import scoring as XS
 
 #: Session ids of the short lists; one of them is nobody's, one is no id.
@@ -73,6 +74,24 @@ def stream_network_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_events(spark.read.schema(S.NETWORK_EVENTS).parquet(f"{folder}/out"))
 
 
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """The broken log as a stream, split into the tables of events and of rejects."""
+    folder = _broken_log(spark, sf_dir)
+    rows = SE.stream_event_rows(spark, folder, "json", max_files_per_trigger=1)
+    XG.stream_split_events(rows, f"{folder}_out", f"{folder}_cp", run="one", available_now=True).awaitTermination()
+    return f"{folder}_out"
+
+
+def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return XG.read_events(spark, _ingested(spark, sf_dir))
+
+
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.when(F.col("reason") == "corrupt", F.col("record"))
+    rejects = XG.read_rejects(spark, _ingested(spark, sf_dir))
+    return rejects.select("event_seq", "reason", record.alias("record"))
+
+
 def write_payload_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted payloads, logged and scanned again."""
     folder = Q.run_folder(spark)
@@ -125,6 +144,8 @@ QUERIES: dict[str, Q.Query] = {
     "scan_rejects": scan_rejects,
     "scan_accepted": scan_accepted,
     "stream_network_events": stream_network_events,
+    "stream_accepted": stream_accepted,
+    "stream_rejects": stream_rejects,
     "scan_payloads": scan_payloads,
     "write_payload_log": write_payload_log,
     "write_vector_log": write_vector_log,
@@ -156,3 +177,4 @@ ORACLES: dict[str, str] = {
     "lookup_short_list": f"{_FIN} WHERE session_id IN (3, 13, -1)",
     "remove_short_list": f"{_FIN} WHERE session_id NOT IN (3, 13, -1)",
 }
+ORACLES["stream_accepted"], ORACLES["stream_rejects"] = ORACLES["scan_accepted"], ORACLES["scan_rejects"]

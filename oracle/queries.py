@@ -32,7 +32,9 @@ from sessora.operators import scoring as C
 from sessora.operators import snapshots as N
 from sessora.operators import vectors as V
 from sessora.sources.adapter import adapt_events, adapt_packets
-from sessora.sources import events as SE
+from sessora.sources.results import read_inference_results
+from sessora.streaming import ingest as XG
+from sessora.streaming import numbering as XN
 from sessora.streaming import scoring as XS
 from sessora.streaming import sessions as XI
 
@@ -153,6 +155,26 @@ def _spread(vectors: DataFrame, keep: str, size: int) -> DataFrame:
     )
 
 
+def _two_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The events of two spans, and what is kept of the first, stored as between two jobs."""
+    log, half = events(spark, sf_dir), _BASE_US + 14 * 86_400_000_000
+    before, after = log.where(F.col("mono_us") <= half), log.where(F.col("mono_us") > half)
+    folder = run_folder(spark)
+    R.kept_state(before).write.parquet(f"{folder}/kept")
+    return before, after, spark.read.parquet(f"{folder}/kept")
+
+
+def running_state_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each span by itself, the second from what the first left."""
+    before, after, kept = _two_days(spark, sf_dir)
+    return R.running_session_state(before).unionByName(R.running_session_state(after, kept=kept))
+
+
+def snapshots_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, after, kept = _two_days(spark, sf_dir)
+    return N.snapshots_of_kept(R.kept_state(after, kept))
+
+
 def _flat_items(items: DataFrame) -> DataFrame:
     """Every field of both structs."""
     return items.select(
@@ -468,47 +490,67 @@ def stream_session_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_items(spark.read.schema(items.schema).parquet(f"{folder}/out"))
 
 
-def _in_batches(log: DataFrame, spans: list[tuple], folder: str) -> DataFrame:
-    """A stream that takes the events of each span of ``mono_us`` as a micro-batch, in this order."""
-    for low, high in spans:
-        part = log.where((F.col("mono_us") > low) & (F.col("mono_us") <= high))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return SE.stream_network_events(log.sparkSession, f"{folder}/in", max_files_per_trigger=1)
+def _replayed_items(log: DataFrame, spans: list[tuple], **options) -> DataFrame:
+    """Items of a stream that takes the events of each span of ``mono_us`` as a micro-batch, in this order."""
+    spark = log.sparkSession
+    XI.use_rocksdb(spark)
+    folder = run_folder(spark)
+
+    def start():
+        stream = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+        items = XI.stream_feature_items(stream, **options)
+        return XS.write_stream(items, f"{folder}/out", f"{folder}/cp", available_now=True)
+
+    spanned = [log.where((F.col("mono_us") > low) & (F.col("mono_us") <= high)) for low, high in spans]
+    XG.replayed(spanned, f"{folder}/in", start)
+    return _flat_items(spark.read.parquet(f"{folder}/out"))
 
 
 def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The later half of the log arrives first."""
-    XI.use_rocksdb(spark)
-    folder = run_folder(spark)
     half = _BASE_US + 14 * 86_400_000_000
-    spans = [(half, float("inf")), (float("-inf"), half)]
-    items = XI.stream_feature_items(_in_batches(events(spark, sf_dir), spans, folder))
-    XS.write_stream(items, f"{folder}/out", f"{folder}/cp", available_now=True).awaitTermination()
-    return _flat_items(spark.read.schema(items.schema).parquet(f"{folder}/out"))
+    return _replayed_items(events(spark, sf_dir), [(half, float("inf")), (float("-inf"), half)])
 
 
 def stream_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removals in the stream, and a clear in its table, over several micro-batches."""
-    XI.use_rocksdb(spark)
-    folder = run_folder(spark)
     log = events(spark, sf_dir)
     controls = removal_controls(log)[1]
     is_removal = is_error() & (F.col("error_code") == 99)
     marked = log.withColumn("type", F.when(is_removal, S.REMOVE_SESSION).otherwise(F.col("type")))
     cuts = [float("-inf"), *log.approxQuantile("mono_us", [1 / 3, 2 / 3], 0.01), float("inf")]
-    stream = _in_batches(marked, list(zip(cuts, cuts[1:])), folder)
-    items = XI.stream_feature_items(stream, clears=controls.where(F.col("type") == S.CLEAR))
-    XS.write_stream(items, f"{folder}/out", f"{folder}/cp", available_now=True).awaitTermination()
-    return _flat_items(spark.read.schema(items.schema).parquet(f"{folder}/out"))
+    clears = controls.where(F.col("type") == S.CLEAR)
+    return _replayed_items(marked, list(zip(cuts, cuts[1:])), clears=clears)
+
+
+def stream_idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of the log, in order, with every session idle for too long between them."""
+    half = _BASE_US + 14 * 86_400_000_000
+    spans = [(float("-inf"), half), (half, float("inf"))]
+    return _replayed_items(events(spark, sf_dir), spans, idle_ms=1)
+
+
+def stream_numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items numbered as they are appended, over four micro-batches in order."""
+    log = events(spark, sf_dir)
+    XI.use_rocksdb(spark)
+    folder = run_folder(spark)
+
+    def start():
+        items = XI.stream_feature_items(spark.readStream.schema(log.schema).parquet(f"{folder}/in"))
+        return XN.stream_numbered_items(items, f"{folder}/out", f"{folder}/cp", run="one", available_now=True)
+
+    days = [float("-inf"), *[_BASE_US + d * 86_400_000_000 for d in (7, 14, 21)], float("inf")]
+    weeks = [log.where((F.col("mono_us") > low) & (F.col("mono_us") <= high)) for low, high in zip(days, days[1:])]
+    XG.replayed(weeks, f"{folder}/in", start)
+    return XN.NumberedItems(spark, f"{folder}/out", "one").read().select("event_seq", "type", "queue_sequence_id")
 
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark)
     log = streamed_events(spark, sf_dir)
     XS.stream_score(log, f"{folder}/out", f"{folder}/cp", run="one", available_now=True).awaitTermination()
-    return spark.read.schema(S.INFERENCE_RESULT).parquet(f"{folder}/out").select(
-        *S.INFERENCE_RESULT.fieldNames()
-    )
+    return read_inference_results(spark, f"{folder}/out")
 
 
 def stream_inference_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,6 +608,8 @@ QUERIES: dict[str, Query] = {
     "connection_duration": _on_events(R.connection_duration),
     "lifecycle_flags": _on_events(R.lifecycle_flags),
     "session_summaries": _on_events(R.session_summaries),
+    "running_state_continued": running_state_continued,
+    "snapshots_continued": snapshots_continued,
     "session_epochs": removal_epochs,
     "running_state_with_removals": removal_state,
     "snapshots_with_removals": removal_snapshots,
@@ -602,6 +646,8 @@ QUERIES: dict[str, Query] = {
     "stream_session_removal": stream_session_removal,
     "stream_clear": stream_clear,
     "stream_out_of_order": stream_out_of_order,
+    "stream_idle_sessions": stream_idle_sessions,
+    "stream_numbered_items": stream_numbered_items,
     "stream_score": stream_score,
     "stream_inference_state": stream_inference_state,
 }

@@ -404,6 +404,8 @@ ORACLES: dict[str, str] = {
 for _split in ("running_session_state", "message_snapshots", "sequence_items", "admit_items"):
     ORACLES[f"{_split}_in_chunks"] = ORACLES[_split]
 ORACLES["items_from_events"] = ORACLES["feature_items"]
+ORACLES["running_state_continued"] = ORACLES["running_session_state"]
+ORACLES["snapshots_continued"] = ORACLES["session_snapshots"]
 ORACLES["stream_feature_items"] = ORACLES["feature_items"]
 ORACLES["stream_inference_state"] = ORACLES["inference_session_state"]
 ORACLES["stream_score"] = f"""{_SEQ} SELECT session_id, event_seq AS arrival_seq,
@@ -416,6 +418,9 @@ _LATE = """late AS (
   FROM ev)"""
 ORACLES["stream_out_of_order"] = f"""{_with(EV, _LATE, state("late", order="arrival, mono_us, event_seq"))}
 SELECT mono_us, event_seq, {FLAT_ITEM} FROM st WHERE type IN ('PacketParsed', 'SessionClosed')"""
+ORACLES["stream_idle_sessions"] = f"""{_with(EV, _LATE, state("late", keys="session_id, arrival"))}
+SELECT mono_us, event_seq, {FLAT_ITEM} FROM st WHERE type IN ('PacketParsed', 'SessionClosed')"""
+ORACLES["stream_numbered_items"] = ORACLES["sequence_items"]
 ORACLES["stream_clear"] = f"""{_with(EV, CONTROLS, state("epochs", "st", "session_id, removals, clears"))}
 SELECT mono_us, event_seq, {FLAT_ITEM} FROM st WHERE type IN ('PacketParsed', 'SessionClosed')"""
 ORACLES["stream_session_removal"] = f"""{_with(EV, CONTROLS.split('counted AS (')[0].rstrip().rstrip(','))},

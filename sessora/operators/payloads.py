@@ -3,14 +3,17 @@
 A payload is a tagged object: ``event_type`` says whether it describes a message or a
 session summary. Reading goes through a variant column, parsed once per row, so that the
 lenient number rules of the scoring service can be kept: ``"12"``, ``12.0`` and ``true``
-are integers, ``12.5`` and ``null`` are not.
+are integers, ``12.5`` and ``null`` are not. Text that the variant parser refuses gets a second reading
+by the service's own rules: bare ``NaN`` and ``Infinity`` are numbers, and the last of repeated keys counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sessora import schemas as S
@@ -161,14 +164,25 @@ def session_payloads(items: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def parse_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
+def parse_payloads(raw: DataFrame, column: str = "value", *, tolerant: bool = True) -> DataFrame:
     """Parse JSON text by its tag.
 
+    ``tolerant`` reads refused text a second time, in Arrow batches in which all other rows are NULL; without it
+    such rows are parse errors and everything stays in the JVM.
+
     Adds ``is_json``, ``event_type`` and, by tag, the typed ``message_request`` or
     ``session_request``. ``read`` holds the texts and broken rules found on the way, for
     :func:`validate_payloads`; text is parsed, looked up and checked in one expression.
     """
-    parsed = raw.withColumn("read", _let(F.try_parse_json(column), _read_payload))
+    if tolerant:
+        read = raw.withColumn("_variant", F.try_parse_json(column))
+        refused = F.when(F.col("_variant").isNull(), F.col(column))
+        read = read.withColumn("_again", _rewritten(refused))
+        parsed = read.withColumn(
+            "read", _let(F.coalesce("_variant", F.try_parse_json("_again")), _read_payload)
+        ).drop("_variant", "_again")
+    else:
+        parsed = raw.withColumn("read", _let(F.try_parse_json(column), _read_payload))
     tag = F.col("read.event_type")
     requests = {
         name: F.when(tag == event, _request(PAYLOAD_FIELDS[event]))
@@ -177,6 +191,39 @@ def parse_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
     return parsed.withColumns({"is_json": F.col("read.is_json"), "event_type": tag, **requests})
 
 
+#: A whole number that reads as an infinite double.
+_INFINITE = 10**400
+
+
+def _number(text: str) -> float | int:
+    value = float(text)
+    return value if abs(value) != float("inf") else _INFINITE if value > 0 else -_INFINITE
+
+
+#: NaN is below no bound and equals nothing: every rule rejects it as it rejects minus infinity.
+_CONSTANTS = {"NaN": -_INFINITE, "Infinity": _INFINITE, "-Infinity": -_INFINITE}
+
+
+def rewritten(text: str) -> str | None:
+    """The same document in strict JSON; None if it is none."""
+    try:
+        return json.dumps(json.loads(text, parse_float=_number, parse_constant=_CONSTANTS.get))
+    except (ValueError, RecursionError):
+        return None
+
+
+def _rewritten(text: Column) -> Column:
+    @F.arrow_udf("string")
+    def again(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            if column.null_count == len(column):
+                yield pa.nulls(len(column), pa.string())
+            else:
+                yield pa.array([None if t is None else rewritten(t) for t in column.to_pylist()], pa.string())
+
+    return again(text)
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -186,6 +233,9 @@ def _read_payload(payload: Column) -> Column:
     def members(path: str) -> Column:
         return F.try_variant_get(payload, path, "map<string,variant>")
 
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
+
     document = F.struct(
         payload.isNotNull().alias("is_json"),
         _string(payload, "event_type").alias("event_type"),
@@ -196,6 +246,12 @@ def _read_payload(payload: Column) -> Column:
             F.lit("message"), members("$.message"),
             F.lit("features"), members("$.features"),
         ).alias("objects"),
+        F.create_map(
+            F.lit(""), kind("$"),
+            F.lit("session"), kind("$.session"),
+            F.lit("message"), kind("$.message"),
+            F.lit("features"), kind("$.features"),
+        ).alias("kinds"),
     )
     return _let(document, _read_document)
 
@@ -216,6 +272,8 @@ def _read_document(document: Column) -> Column:
             F.try_element_at(members, field["name"]),
             lambda leaf: F.struct(
                 field.alias("field"),
+                members.isNotNull().alias("inside"),
+                F.try_element_at(document["kinds"], field["group"]).alias("group_type"),
                 F.schema_of_variant(leaf).alias("type"),
                 F.try_variant_get(leaf, "$", "string").alias("text"),
             ),
@@ -224,7 +282,8 @@ def _read_document(document: Column) -> Column:
     def read(found: Column) -> Column:
         value = _value(found["field"]["kind"], found["type"], found["text"])
         return F.struct(
-            found["field"].alias("field"), found["type"].alias("type"), value.alias("value")
+            *[found[c].alias(c) for c in ("field", "inside", "group_type", "type")],
+            value.alias("value"),
         )
 
     fields = F.transform(F.transform(expected, find), read)
@@ -249,15 +308,17 @@ def _by_tag(tag: Column, choices: dict[str, Column]) -> Column:
 
 def _spec(fields: list[PayloadField]) -> Column:
     """The expected fields as a constant array, so that one lambda covers them all."""
+    first = {field.group: at for at, field in reversed(list(enumerate(fields)))}
     return F.array(
         *[
             F.struct(
+                F.lit(first[field.group] == at).alias("leads"),
                 F.lit(field.group).alias("group"),
                 F.lit(field.name).alias("name"),
                 F.lit(field.kind).alias("kind"),
                 F.lit(field.non_negative).alias("non_negative"),
             )
-            for field in fields
+            for at, field in enumerate(fields)
         ]
     )
 
@@ -340,7 +401,10 @@ def _check(read: Column) -> Column:
         .when(field["non_negative"] & ((number < 0) | F.isnan(number)), "below_zero")
         .when((field["kind"] == "int") & value.try_cast("bigint").isNull(), "too_large")
     )
-    return F.when(reason.isNotNull(), F.concat(path, F.lit(":"), reason))
+    # a missing or wrong object is reported once, not by its fields
+    whole = F.when(read["group_type"].isNull(), ":missing").otherwise(":type")
+    in_object = F.when(reason.isNotNull(), F.concat(path, F.lit(":"), reason))
+    return F.when(read["inside"], in_object).when(field["leads"], F.concat(field["group"], whole))
 
 
 def split_payloads(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from sessora import schemas as S
 from sessora.functions import duration_ms, is_close, is_message
 from sessora.operators.state import ALL_COLUMNS, fold, needed_folds, read_columns
-from sessora.plans.folds import ROWS_PER_CHUNK, running
+from sessora.plans.folds import ROWS_PER_CHUNK, final, running
 
 KEYS = ("session_id",)
 
@@ -31,12 +31,16 @@ def running_session_state(
     keys: Sequence[str] = KEYS,
     keep: Sequence[str] = (),
     split_rows: DataFrame | None = None,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
     """Session state after every event, one row per event.
 
     ``columns`` picks state columns, ``keep`` carries event columns along. ``keys`` may hold
     more than the session id, as in :func:`sessora.operators.epochs.session_epochs`; then
     ``split_rows`` should be the plain event log, so that sizing sessions stays a cheap scan.
+
+    ``kept`` is what :func:`kept_state` kept of all earlier events: then ``events`` are those since, and a day
+    costs that day and one row for each session.
     """
     folded = running(
         events,
@@ -46,6 +50,7 @@ def running_session_state(
         rows_per_chunk,
         split_keys=None if split_rows is None else KEYS,
         split_rows=split_rows,
+        seed=kept,
     )
     taken = {*keys, *S.ORDER, "type"}
     passed = [name for name in keep if name not in taken]
@@ -54,6 +59,18 @@ def running_session_state(
     )
 
 
+def kept_state(
+    events: DataFrame, kept: DataFrame | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """What :func:`running_session_state` needs of these events to go on after them, one row per session.
+
+    With ``kept`` (an earlier result, of all events before these) over those too. Store it; it is no snapshot:
+    read one with :func:`sessora.operators.snapshots.snapshots_of_kept`.
+    """
+    folds = needed_folds(ALL_COLUMNS)
+    return final(events, keys, S.ORDER, folds, seed=kept)
+
+
 def message_snapshots(
     events: DataFrame,
     *,

@@ -28,6 +28,13 @@ def session_snapshots(
     return folded.select(*keys, *read_columns(columns, session_zero_quirk))
 
 
+def snapshots_of_kept(
+    kept: DataFrame, *, session_zero_quirk: bool = True, keys: Sequence[str] = ("session_id",)
+) -> DataFrame:
+    """State of every session from what :func:`sessora.operators.running.kept_state` kept."""
+    return kept.select(*keys, *read_columns(ALL_COLUMNS, session_zero_quirk))
+
+
 def recv_totals(events: DataFrame) -> DataFrame:
     return session_snapshots(events, ("recv_event_count", "bytes_received_total"))
 

@@ -103,6 +103,7 @@ def running(
     same_rows: DataFrame | None = None,
     split_keys: Sequence[str] | None = None,
     split_rows: DataFrame | None = None,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` plus one column per fold, as of each row in ``order`` within ``keys``.
 
@@ -110,9 +111,13 @@ def running(
     ``rows_per_chunk=None`` skips splitting, for callers that know every group fits one task.
     ``same_rows`` may give the same rows in a cheaper plan; split points and carries are
     then taken from it. ``split_keys`` and ``split_rows`` may place the split points by fewer
-    keys and from yet another table; any points give the same result.
+    keys and from yet another table; any points give the same result. ``seed`` gives the folds over
+    earlier rows, as :func:`final` returns them; a group without a seed starts anew.
     """
     keys, order = list(keys), list(order)
+    if seed is not None:
+        here = running(df, keys, order, folds, rows_per_chunk, same_rows, split_keys, split_rows)
+        return _after(here, seed, keys, [f for f in folds if f.kind != "current"], "left")
     if rows_per_chunk is None:
         if not keys:
             raise ValueError("the whole table as one group must be split: give rows_per_chunk")
@@ -269,6 +274,12 @@ def _combine(
     local: DataFrame, carry: DataFrame, keys: list[str], folds: Sequence[Fold]
 ) -> DataFrame:
     joined = _join_null_safe(local, carry, keys + [CHUNK], "left")
+    extra = [output + _CARRY for fold in folds for output in fold.outputs]
+    return joined.withColumns(_combined(folds)).drop(CHUNK, *extra)
+
+
+def _combined(folds: Sequence[Fold]) -> dict[str, Column]:
+    """Each fold over the carried rows and then these."""
     columns: dict[str, Column] = {}
     for fold in folds:
         mine, earlier = F.col(fold.name), F.col(fold.name + _CARRY)
@@ -283,8 +294,27 @@ def _combine(
             columns[gap] = F.when(mine.isNull(), F.col(gap + _CARRY)).otherwise(
                 F.coalesce(F.col(gap), mine - earlier)
             )
-    extra = [output + _CARRY for fold in folds for output in fold.outputs]
-    return joined.withColumns(columns).drop(CHUNK, *extra)
+    return columns
+
+
+def _after(
+    here: DataFrame, seed: DataFrame, keys: Sequence[str], folds: Sequence[Fold], how: str
+) -> DataFrame:
+    """Folds of ``here`` continued from those of ``seed``, one row for each group.
+
+    Spark chooses the join: many groups shuffle, and an adaptive skew join splits a hot one.
+    """
+    outputs = [output for fold in folds for output in fold.outputs]
+    named = seed.select(
+        *[F.col(k).alias(f"_seed_{k}") for k in keys],
+        *[F.col(output).alias(output + _CARRY) for output in outputs],
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_seed_{k}")) for k in keys]
+    joined = here.join(named, same, how)
+    own = {f.name: F.coalesce(F.col(f.name), F.lit(0)) for f in folds if f.kind == "sum"}
+    group = {k: F.coalesce(F.col(k), F.col(f"_seed_{k}")) for k in keys}
+    out = joined.withColumns(own | group).withColumns(_combined(folds))
+    return out.drop(*[f"_seed_{k}" for k in keys], *[output + _CARRY for output in outputs])
 
 
 # ---------------------------------------------------------------------------
@@ -293,10 +323,16 @@ def _combine(
 
 
 def final(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: Sequence[Fold]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    folds: Sequence[Fold],
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with every fold over the whole group.
 
+    With ``seed``, an earlier result of this function, over the earlier rows too; groups of either are kept.
+
     All folds aggregate partially before the shuffle, so a hot group costs one
     row per map task. ``keys`` must not be empty.
     """
@@ -321,6 +357,8 @@ def final(
             second = _second_last(df, keys, order, fold)
             out = out.join(second, keys, "left")
             out = out.withColumn(fold.name + _GAP, F.col(fold.name) - F.col("_second")).drop("_second")
+    if seed is not None:
+        return _after(out, seed, keys, folds, "full")
     return out
 
 

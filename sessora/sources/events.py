@@ -21,6 +21,14 @@ _ROWS = T.StructType(
     + [T.StructField(_CORRUPT, T.StringType())]
 )
 
+REJECTS = T.StructType(
+    [
+        T.StructField("event_seq", T.LongType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("record", T.StringType()),
+    ]
+)
+
 
 def scan_event_rows(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """All rows of the log, good or not, with the fixed schema; nothing is inferred."""

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from sessora.operators.results import inference_session_state
 from sessora.operators.scoring import score_constant
 from sessora.operators.vectors import item_vector
-from sessora.sources.results import batch_folder, result_writer
+from sessora.sources.batches import BATCH, FAN_OUT, BatchTable, batch_writer, newest_rows, read_batches
+from sessora.sources.results import result_writer
 from sessora.streaming.sessions import stream_feature_items
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -58,31 +59,38 @@ def stream_score(
 
 
 def stream_inference_state(
-    results: DataFrame, path: str, checkpoint: str, *, run: str, available_now: bool = False
+    results: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    run: str,
+    available_now: bool = False,
+    fan_out: int = FAN_OUT,
 ) -> StreamingQuery:
     """Keep the per-session result state live.
 
     A built-in aggregation in update mode: it combines before the shuffle, so a busy
     session costs one row per task and micro-batch. Each micro-batch writes the sessions it
-    changed; read the newest with :func:`read_inference_state`. ``run`` names this checkpoint; of two
-    runs, that with the later name is the newer one, so begin it with a time.
+    changed, and batches are merged by session (:mod:`sessora.sources.batches`); read the newest with
+    :func:`read_inference_state`. ``run`` names this checkpoint; of two runs, that with the later name is the
+    newer one, so begin it with a time.
     """
     state = inference_session_state(results)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, run, batch_id))
-
-    writer = state.writeStream.outputMode("update").foreachBatch(write)
+    table = BatchTable(results.sparkSession, path, run, ["session_id"], fan_out)
+    writer = state.writeStream.outputMode("update").foreachBatch(batch_writer(table))
     return _start(writer, checkpoint, available_now)
 
 
-def read_inference_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest written state of every session, that of the newest run in which it occurs."""
-    written = spark.read.option("inferPartitionTypes", False).parquet(path)
-    columns = [c for c in written.columns if c not in ("run", "batch_id", "session_id")]
-    version = F.struct(F.col("run").cast("string"), F.col("batch_id").cast("long"))
-    newest = F.max_by(F.struct(*columns), version).alias("s")
-    return written.groupBy("session_id").agg(newest).select("session_id", "s.*")
+def read_inference_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """Newest committed state of every session, that of the newest run in which it occurs; None before any.
+
+    Reads a few folders for each level of merged batches, whatever the number of batches.
+    """
+    written = read_batches(spark, path)
+    if written is None:
+        return None
+    versions = written.withColumn("_version", F.struct("run", BATCH)).drop("run", BATCH)
+    return newest_rows(versions, ["session_id"], "_version").drop("_version")
 
 
 def write_stream(
@@ -93,6 +101,19 @@ def write_stream(
     return _start(writer, checkpoint, available_now)
 
 
+_NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start() if available_now else writer.start()
+    if not available_now:
+        return writer.start()
+    # with idle timers Spark would go on with batches without data and never end; the query takes
+    # the setting over as it starts
+    conf = SparkSession.active().conf
+    before = conf.get(_NO_DATA)
+    conf.set(_NO_DATA, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(_NO_DATA, before)

@@ -1,226 +1,86 @@
 """Feature items from a live event stream.
 
-State is kept per session id in the state store and never expires by itself; a
-``RemoveSession`` row deletes it, and after a ``Clear`` a session starts over. Within a micro-batch a session's events
-are applied in ``(mono_us, event_seq)`` order, across micro-batches as they come, so the
-result equals the batch operators exactly when the input arrives in order. A late message
-can have a negative interval, which the payload rules then reject.
-
-A session's share of one micro-batch is sorted in one task, so the limits of the source
-(``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) bound what a busy session can hold.
+State is kept per session in the state store. A ``RemoveSession`` row deletes it, after a ``Clear`` a
+session starts over, and with ``idle_ms`` a session without events for that long is dropped; by
+default nothing expires. Within a micro-batch a session's events are applied in
+``(mono_us, event_seq)`` order, across micro-batches as they come, so the result equals the batch operators
+exactly when the input arrives in order. A late message can have a negative interval, which the
+payload rules then reject.
+
+The rules are those of the batch operators, the folds of :mod:`sessora.operators.state`; see
+:mod:`sessora.streaming.folds` for how a stream evaluates them. A bucket's share of one micro-batch is
+folded in one task, so the limits of the source (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) bound what a busy
+session can hold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessora import schemas as S
+from sessora.functions import is_close, is_message
 from sessora.operators.items import items_from_state
+from sessora.operators.state import ALL_COLUMNS, needed_folds, read_columns
+from sessora.streaming.folds import BUCKETS, stream_running
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_WALL_TIMES = (
-    "connection_start_wall_time",
-    "last_event_wall_time",
-    "connection_close_wall_time",
-)
-
-# a new session's state; None is "not seen yet"
-_NEW = {
-    "first_us": None,
-    "first_wall": None,
-    "start_us": None,
-    "start_wall": None,
-    "closed": False,
-    "close_wall": None,
-    "recv_count": 0,
-    "recv_bytes": 0,
-    "send_count": 0,
-    "send_bytes": 0,
-    "messages": 0,
-    "errors": 0,
-    "first_message": None,
-    "last_message": None,
-    "gap_us": 0,
-    "packet_id": -1,
-    "packet_size": 0,
-    "payload_size": 0,
-    "error_code": 0,
-    "error_message": "",
-    "clears": 0,
-}
-_FIELDS = tuple(_NEW)
-_TYPES = {"closed": T.BooleanType(), "error_message": T.StringType()}
-_STATE = T.StructType([T.StructField(f, _TYPES.get(f, T.LongType())) for f in _FIELDS])
-
-# wall times travel as epoch microseconds, free of any timezone
-_OUTPUT = T.StructType(
-    [
-        T.StructField("mono_us", T.LongType()),
-        T.StructField("event_seq", T.LongType()),
-        T.StructField("type", T.StringType()),
-    ]
-    + [
-        T.StructField(f.name, T.LongType() if f.name in _WALL_TIMES else f.dataType)
-        for f in S.SESSION_STATE.fields
-    ]
-)
+#: Columns of an event that its state shows as they are.
+_OWN = ("wall_time", "socket_handle", "logic_worker_id")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keep stream state in RocksDB, which the session processor needs."""
+    """Keep stream state in RocksDB: on disk, beyond what the JVM's memory holds."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def stream_feature_items(
-    events: DataFrame, *, session_zero_quirk: bool = True, clears: DataFrame | None = None
+def stream_session_state(
+    events: DataFrame,
+    *,
+    session_zero_quirk: bool = True,
+    clears: DataFrame | None = None,
+    buckets: int | None = BUCKETS,
+    idle_ms: int | None = None,
 ) -> DataFrame:
-    """Items as in :func:`sessora.operators.items.items_from_events`, from a stream.
+    """Session state at each emitting event of a stream, as ``running_session_state`` has it.
 
-    ``events`` are normalized and may hold ``RemoveSession`` rows. A stream has no global
-    item number; number the written items in batch.
+    ``events`` are normalized and may hold ``RemoveSession`` rows.
 
     A clear concerns all sessions, so clears come as a table of their own (``mono_us``,
     ``event_seq``), one row for each command given. Each event knows how many came before it, each
     session how many it has seen. A ``Clear`` among the events fails the stream.
+
+    ``idle_ms`` (processing time) drops sessions without events for that long; one that comes back starts anew.
+    Timers run with every micro-batch; a running trigger makes batches without data for them, so
+    ``processAllAvailable`` does not return unless ``spark.sql.streaming.noDataMicroBatches.enabled`` is off.
     """
     misplaced = F.raise_error(F.lit("a Clear belongs into the table of clears"))
     events = events.withColumn("type", F.when(F.col("type") == S.CLEAR, misplaced).otherwise(F.col("type")))
-    if clears is None:
-        events = events.withColumn("clears", F.lit(0))
-    else:
+    before = None
+    if clears is not None:
         given = clears.agg(F.collect_list(F.struct(*S.ORDER))).scalar()
-        before = F.filter("_given", lambda clear: clear < F.struct(*S.ORDER))
-        events = events.withColumn("_given", given).withColumn("clears", F.size(before))
-    used = events.select(
+        events = events.withColumn("_given", given)
+        before = F.size(F.filter("_given", lambda clear: clear < F.struct(*S.ORDER)))
+    folded = stream_running(
+        events,
         "session_id",
-        "clears",
-        *S.ORDER,
-        "type",
-        "socket_handle",
-        "logic_worker_id",
-        F.unix_micros("wall_time").alias("wall_us"),
-        "bytes_transferred",
-        "packet_id",
-        "packet_size",
-        "payload_size",
-        "error_code",
-        "error_message",
-    )
-    state = used.groupBy("session_id").transformWithState(
-        SessionProcessor(session_zero_quirk),
-        _OUTPUT,
-        "Append",
-        "None",
-    )
-    return items_from_state(
-        state.withColumns({name: F.timestamp_micros(name) for name in _WALL_TIMES})
+        S.ORDER,
+        needed_folds(ALL_COLUMNS),
+        emit=is_message() | is_close(),
+        removed=F.col("type") == S.REMOVE_SESSION,
+        keep=("type", *_OWN),
+        clears=before,
+        buckets=buckets,
+        idle_ms=idle_ms,
     )
+    state = folded.withColumn("_event", F.struct("mono_us", *_OWN))
+    return state.select(*S.ORDER, "type", "session_id", *read_columns(ALL_COLUMNS, session_zero_quirk))
+
 
+def stream_feature_items(events: DataFrame, **options) -> DataFrame:
+    """Items as in :func:`sessora.operators.items.items_from_events`, from a stream.
 
-class SessionProcessor(StatefulProcessor):
-    """Applies the session rules to one session's events and emits state at emitting events."""
-
-    def __init__(self, session_zero_quirk: bool) -> None:
-        self.quirk = session_zero_quirk
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("session", _STATE)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        session_id = key[0]
-        state = dict(zip(_FIELDS, self.kept.get())) if self.kept.exists() else None
-        for event in sorted(rows, key=lambda e: (e.mono_us, e.event_seq)):
-            if event.type == S.REMOVE_SESSION:
-                state = None
-                continue
-            if state is None or event.clears > state["clears"]:
-                state = dict(_NEW, clears=event.clears)
-            self._apply(state, event)
-            if event.type in (S.PACKET_PARSED, S.SESSION_CLOSED):
-                yield self._row(session_id, state, event)
-        if state is None:
-            self.kept.clear()
-        else:
-            self.kept.update(tuple(state[name] for name in _FIELDS))
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _apply(state: dict, event: Row) -> None:
-        kind = event.type
-        if state["first_us"] is None:
-            state.update(first_us=event.mono_us, first_wall=event.wall_us)
-        if kind == S.SESSION_STARTED:
-            state.update(start_us=event.mono_us, start_wall=event.wall_us, closed=False)
-        elif kind == S.SESSION_CLOSED:
-            state.update(closed=True, close_wall=event.wall_us)
-        elif kind == S.RECV_COMPLETED:
-            state["recv_count"] += 1
-            state["recv_bytes"] += event.bytes_transferred
-        elif kind == S.SEND_COMPLETED:
-            state["send_count"] += 1
-            state["send_bytes"] += event.bytes_transferred
-        elif kind == S.PACKET_PARSED:
-            last = state["last_message"]
-            if last is None:
-                state["first_message"] = event.mono_us
-            state.update(
-                messages=state["messages"] + 1,
-                gap_us=0 if last is None else event.mono_us - last,
-                last_message=event.mono_us,
-                packet_id=event.packet_id,
-                packet_size=event.packet_size,
-                payload_size=event.payload_size,
-            )
-        elif kind == S.PROTOCOL_ERROR:
-            state.update(
-                errors=state["errors"] + 1,
-                error_code=event.error_code,
-                error_message=event.error_message,
-            )
-            if event.packet_id >= 0:
-                state["packet_id"] = event.packet_id
-            if event.packet_size > 0:
-                state["packet_size"] = event.packet_size
-            if event.payload_size > 0:
-                state["payload_size"] = event.payload_size
-
-    def _row(self, session_id: int, state: dict, event: Row) -> Row:
-        restarts = self.quirk and session_id == 0
-        started = state["start_us"] is not None
-        start_us = state["start_us"] if started else state["first_us"]
-        start_wall = state["start_wall"] if started else state["first_wall"]
-        gaps = state["messages"] - 1
-        span_us = (state["last_message"] - state["first_message"]) if gaps > 0 else 0
-        return Row(
-            mono_us=event.mono_us,
-            event_seq=event.event_seq,
-            type=event.type,
-            session_id=session_id,
-            socket_handle=event.socket_handle,
-            logic_worker_id=event.logic_worker_id,
-            is_started=started,
-            is_closed=state["closed"],
-            connection_start_wall_time=event.wall_us if restarts else start_wall,
-            last_event_wall_time=event.wall_us,
-            connection_close_wall_time=state["close_wall"],
-            connection_duration_ms=0.0 if restarts else (event.mono_us - start_us) / 1000.0,
-            bytes_received_total=state["recv_bytes"],
-            bytes_sent_total=state["send_bytes"],
-            recv_event_count=state["recv_count"],
-            send_event_count=state["send_count"],
-            request_count=state["messages"],
-            error_count=state["errors"],
-            last_message_interval_ms=state["gap_us"] / 1000.0,
-            avg_message_interval_ms=span_us / 1000.0 / gaps if gaps > 0 else 0.0,
-            last_packet_id=state["packet_id"],
-            last_packet_size=state["packet_size"],
-            last_payload_size=state["payload_size"],
-            last_error_code=state["error_code"],
-            last_error_message=state["error_message"],
-        )
+    Options as in :func:`stream_session_state`. A stream has no global item number; items get theirs
+    as they are appended (:mod:`sessora.streaming.numbering`).
+    """
+    return items_from_state(stream_session_state(events, **options))

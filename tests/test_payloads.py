@@ -93,7 +93,28 @@ def cases():
         yield changed(payload, "event_type"), ["event_type:unknown"]
         yield changed(payload, "event_type", "other"), ["event_type:unknown"]
         yield changed(payload, "extra", 1), []
+        for group in ("session", "features", "message")[: 3 if payload is MESSAGE else 2]:
+            yield changed(payload, group), [f"{group}:missing"]
+            for value in (None, 5, [], "x"):
+                yield changed(payload, group, value), [f"{group}:type"]
+        # what the strict parser refuses is read again
+        for field in J.PAYLOAD_FIELDS[payload["event_type"]]:
+            path, kind = field.path, field.kind
+            infinite = [] if kind == "float" else [f"{path}:type"]
+            nan = [f"{path}:below_zero"] if kind == "float" else [f"{path}:type"]
+            yield json.dumps(changed(payload, path, float("inf"))), infinite
+            yield json.dumps(changed(payload, path, float("nan"))), nan
+            yield json.dumps(changed(payload, path, float("-inf"))), nan
+        text = json.dumps(payload)
+        assert text.startswith('{"schema_version": "v1"')
+        yield text.replace('"v1"', '"v0", "schema_version": "v1"', 1), []
+        yield text.replace('"v1"', '"v1", "schema_version": "v0"', 1), ["schema_version:unsupported"]
+        yield text.replace('"session": {', '"session": 3, "session": {"session_id": -1, '), []
+        yield text[:-1] + ', "extra": NaN, "more": 1e999, "text": "Infinity"}', []
     yield "not json", ["payload:parse_error"]
+    yield "NaN", ["event_type:unknown"]
+    yield "[" * 100_000, ["payload:parse_error"]
+    yield "", ["payload:parse_error"]
     yield "[1]", ["event_type:unknown"]
     two = changed(changed(MESSAGE, "session.session_id", -1), "features.packet_size")
     yield two, ["session.session_id:below_zero", "features.packet_size:missing"]
@@ -105,6 +126,15 @@ def test_validation_matrix(spark):
         assert got == want, (payload, want, got)
 
 
+def test_a_null_body_and_the_strict_reader(spark):
+    raw = spark.createDataFrame([(None,), ('{"event_type": NaN}',)], "value string")
+    found = J.validate_payloads(J.parse_payloads(raw)).select("errors").collect()
+    assert [r.errors for r in found] == [["payload:parse_error"], ["event_type:unknown"]]
+    strict = J.validate_payloads(J.parse_payloads(raw, tolerant=False))
+    assert [r.errors for r in strict.select("errors").collect()] == [["payload:parse_error"]] * 2
+    assert "Python" not in strict._jdf.queryExecution().executedPlan().toString()
+
+
 def golden_items(spark):
     log = frame(spark, golden())
     return I.sequence_items(I.items_from_events(log), E.emitting_events(log))
