@@ -39,6 +39,9 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows of one range of leaves.
 RANGE_ROWS = 1_000_000
 
+#: Nodes of the largest tree from which on levels are not stored one by one but computed with their users.
+STORED_NODES = 10_000
+
 #: Ancestors that are broadcast in one round.
 FEW = 5_000
 
@@ -90,11 +93,14 @@ def leaves(rows: DataFrame, later: Column | None = None) -> DataFrame:
 # --- places
 
 
-def placed(found: DataFrame) -> DataFrame:
-    """Rows with `tree`, the number of their source in order, and `place`, that of the row in it; from 0."""
-    rows = found.count()
+def placed(found: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows with `tree`, the number of their source in order, and `place`, that of the row in it; from 0.
+
+    Also the number of trees and the size of the largest.
+    """
+    count = found.count()
     spark = found.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS))
     keys = ("source", "doc_id", "leaf", "row")  # `row` lets equal rows be cut apart
     ranged = stored(found.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()))
     sources = ranged.groupBy("part", "source").agg(F.count("*").alias("n"))
@@ -106,6 +112,7 @@ def placed(found: DataFrame) -> DataFrame:
         F.count("*").alias("sources"),
     )
     starts, tree, ahead, before = [], 0, 0, None
+    largest = sources.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     for r in ends.orderBy("part").collect():  # one row for each partition
         if before is not None and r.first.source == before.source:
             tree -= 1  # goes on with the source of the partition before
@@ -119,13 +126,14 @@ def placed(found: DataFrame) -> DataFrame:
     nth = F.dense_rank().over(Window.partitionBy("part").orderBy("source")) - 1
     local = F.row_number().over(Window.partitionBy("part", "source").orderBy(*keys[1:])) - 1
     numbered = ranged.withColumn("nth", nth).withColumn("local", local)
-    return numbered.join(F.broadcast(starts), "part").select(
+    rows = numbered.join(F.broadcast(starts), "part").select(
         "doc_id",
         "leaf",
         "now",
         (F.col("first_tree") + F.col("nth")).alias("tree"),
         (F.col("local") + F.when(F.col("nth") == 0, F.col("ahead")).otherwise(0)).alias("place"),
     )
+    return rows, tree, largest
 
 
 # --- levels
@@ -189,13 +197,13 @@ def _nodes(found: DataFrame, spread: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _grow(nodes: DataFrame, extra: Sequence[str] = ()) -> list[DataFrame]:
-    """The runs of all levels, each stored."""
-    size = (nodes.agg(F.max("place").alias("last")).first().last or 0) + 1  # of the largest tree
+def _grow(nodes: DataFrame, size: int, extra: Sequence[str] = ()) -> list[DataFrame]:
+    """The runs of all levels; `size` is that of the largest tree. Small levels share one plan."""
     levels = [stored(runs(nodes, extra))]
     while size > 1:
-        levels.append(stored(runs(_parents(levels[-1]))))
         size = -(-size // 3)
+        found = runs(_parents(levels[-1]))
+        levels.append(stored(found) if size > STORED_NODES else found)
     return levels
 
 
@@ -303,11 +311,11 @@ def manifest(rows: DataFrame, later: Column | None = None) -> DataFrame:
 
     `later` gives the text as it is when the proofs are checked; the same as now if not given.
     """
-    found = placed(stored(leaves(rows, later)))
+    found, trees, largest = placed(stored(leaves(rows, later)))
     base = found.select(
         "tree", F.lit(0).alias("level"), "place", F.col("leaf").alias("digest"), "doc_id", "now"
     )
-    levels = _grow(base, ("doc_id", "now"))
+    levels = _grow(base, largest, ("doc_id", "now"))
     subroots = _tops(levels)
     top = _grow(
         subroots.select(
@@ -318,6 +326,7 @@ def manifest(rows: DataFrame, later: Column | None = None) -> DataFrame:
             F.col("tree").alias("source_tree"),
             F.col("level").alias("source_level"),
         ),
+        trees,
         ("source_tree", "source_level"),
     )
     paths = jumped(_paths(levels, top))
