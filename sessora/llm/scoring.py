@@ -229,6 +229,12 @@ def _bucket(word: str) -> Column:
     return (WORDS + F.crc32(end) % BUCKETS).cast("int")
 
 
+def _token(words: list[str], word: str = "word") -> Column:
+    """Tokens._one of a word."""
+    place = F.array_position(F.array(*[F.lit(w) for w in words]).cast("array<string>"), F.col(word))
+    return F.when(place > 0, (place - 1).cast("int")).otherwise(_bucket(word))
+
+
 def vocabulary(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     """The most frequent words, and how many words of the corpus each token stands for."""
     best = counts.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()
@@ -319,25 +325,26 @@ def _score_words(parts: DataFrame, counts: DataFrame, network: Network) -> DataF
     """doc_id, n_tokens, log_likelihood (the sum) of the words, mean_log_likelihood of every row."""
     schema = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
     asked = parts.select(F.col("piece").alias("of"), F.posexplode("words").alias("at", "word"))
-    known = asked.join(counts, "word", "left").select("of", "at", F.coalesce("n", F.lit(1)).alias("n"))
+    known = asked.join(counts, "word", "left").select(
+        "of", "at", F.coalesce("n", F.lit(1)).alias("n"), _token(network.words).alias("token")
+    )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        own, ids, texts = _tokens(row, Tokens(network.words))
-        shares = np.zeros(len(own))
-        at, n = right.column("at").to_numpy(), right.column("n").to_numpy()
-        in_bucket = own[at] >= WORDS
-        at, n = at[in_bucket], n[in_bucket]
-        shares[at] = np.log(n / np.maximum(network.totals[own[at]], n))
-        target, context, sizes = lined(texts)
+        at, n, token = (right.column(c).to_numpy() for c in ("at", "n", "token"))
+        own, shares = np.zeros(len(at), np.int16), np.zeros(len(at))
+        own[at] = token
+        shares[at] = np.where(token >= WORDS, np.log(n / np.maximum(network.totals[token], n)), 0.0)
+        ids, lengths = (np.frombuffer(left.column(c)[0].as_buffer(), d) for c, d in (("ids", np.int32), ("sizes", np.int64)))
+        target, context, sizes = lined(np.split(own[ids], np.cumsum(lengths)[:-1]))
         edges = np.append(0, np.cumsum(network.log_likelihoods(target, context) + shares[ids]))
         stop = np.cumsum(sizes)
         sums = edges[stop] - edges[stop - sizes]
         means = [s / n if n else None for s, n in zip(sums, sizes.tolist())]
-        columns = [pa.array(row["docs"], pa.int64()), pa.array(sizes), pa.array(sums), pa.array(means, pa.float64())]
+        columns = [left.column("docs")[0].values, pa.array(sizes), pa.array(sums), pa.array(means, pa.float64())]
         return pa.table(columns, names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return parts.drop("counts").groupBy("piece").cogroup(known.groupBy("of")).applyInArrow(run, schema)
+    own = parts.select("piece", "docs", "sizes", "ids")
+    return own.groupBy("piece").cogroup(known.groupBy("of")).applyInArrow(run, schema)
 
 
 def score_words(docs: DataFrame, counts: DataFrame, network: Network) -> DataFrame:
