@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_ROWS = 256
 SLICE_BYTES = 4 << 20
+#: Of one Arrow batch; a task holds a few at a time, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
 
 #: Columns to add for a slice of rows, by name, from its texts ('' for null) and the slice itself.
 Step = Callable[[list[str], pa.RecordBatch], dict]
@@ -23,18 +25,47 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches to at most SLICE_ROWS rows and, but for single rows, SLICE_BYTES of text."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut record batches to at most SLICE_ROWS rows and, but for single rows, `most` bytes of text."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(False)
         first = 0
         while first < batch.num_rows:
             ahead = np.cumsum(sizes[first : first + SLICE_ROWS])
-            rows = max(1, int(np.searchsorted(ahead, SLICE_BYTES, side="right")))
+            rows = max(1, int(np.searchsorted(ahead, most, side="right")))
             yield batch.slice(first, rows)
             first += rows
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (but for single rows) in this session, if it allows larger ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name).removesuffix("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def over_texts(text: Column, kind: str, start: Callable[[], Callable[[list[str]], list]]) -> Column:
+    """A value of DDL type `kind` for each text ('' for null); only the text goes through Python.
+
+    `start` runs once per task and gives the function from a slice of texts to their values.
+    """
+    arrow = to_arrow_schema(T._parse_datatype_string(f"value {kind}")).field(0).type
+
+    @F.arrow_udf(kind)
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step = start()
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            cut = slices([batch], most=SLICE_BYTES // 4)
+            parts = [pa.array(step(p.column(0).fill_null("").to_pylist()), arrow) for p in cut]
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return run(text.cast("string"))
+
+
 def map_texts(
     frame: DataFrame, new: str, start: Callable[[], Step], keep: Sequence[str] = ("doc_id",)
 ) -> DataFrame:

@@ -26,7 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sessora.llm.common import codepoints, learned, map_texts, shared_folder, slices, splitmix
+from sessora.llm.common import (
+    bound_batches,
+    codepoints,
+    learned,
+    map_texts,
+    over_texts,
+    shared_folder,
+    slices,
+    splitmix,
+)
 
 ORDER = 4
 MODULUS, HELD_OUT = 4, 2
@@ -411,7 +420,7 @@ def accepted(docs: DataFrame, models: Models) -> DataFrame:
 
     def start() -> Callable:
         scorer = models.open()
-        return lambda texts, part: {"__out": scorer.predict(texts)["rejected"]}
+        return lambda texts: ~np.array(scorer.predict(texts)["rejected"], bool)
 
-    marked = map_texts(docs, "__out boolean", start, keep=docs.columns)
-    return marked.where("not __out").select(*docs.columns)
+    bound_batches(docs.sparkSession)
+    return docs.where(over_texts(F.col("text"), "boolean", start))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sessora.llm.common import checkpointed, map_texts, texts_of
+from sessora.llm.common import bound_batches, checkpointed, map_texts, texts_of
 from sessora.llm.shingles import banding, bands, jaccard_parts, shingle_sets, signatures
 
 BROADCAST_IDS = 1_000_000  # 8 MB; beyond it a shuffle join
@@ -334,13 +334,25 @@ def _named(found: DataFrame, usable: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The same columns, one row for each group; rows without an id stay."""
+    """The same columns, one row for each group; rows without an id stay.
+
+    Of rows that repeat an id and a text one stays, the first by all its columns as JSON; texts without words
+    count as one text. Rows of one id with other texts stay each, if one of them is kept.
+    """
+    bound_batches(docs.sparkSession)
     found = checkpointed(near_duplicates(docs, **options))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    gone = checkpointed(ids.where(~F.col("kept")).select("doc_id"))
     size = gone.count()
     kept = docs.join(_few(gone, size), "doc_id", "left_anti") if size else docs
-    ids = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    if ids.n == ids.ids:
+    again = found.where("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = checkpointed(again.select("doc_id"))
+    size = again.count()
+    if not size:
         return kept
-    some = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return some.unionByName(kept.where(F.col("doc_id").isNull()))
+    repeated = _few(again, size)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    words = F.rtrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", F.when(words != "", F.col("text")))
+    first = first.agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(first)

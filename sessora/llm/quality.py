@@ -24,7 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sessora.llm.common import checkpointed, codepoints, learned, map_texts, texts_of
+from sessora.llm.common import (
+    bound_batches,
+    checkpointed,
+    codepoints,
+    learned,
+    map_texts,
+    over_texts,
+    texts_of,
+)
 
 MODULUS, HELD_OUT = 3, 1
 COSINES = 192
@@ -248,10 +256,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that the model predicts to be good, with their columns as they are."""
 
     def start() -> Callable:
-        def step(texts, part):
-            return {"__good": model.score(np.array([statistics(t) for t in texts])) >= 0.5}
-
-        return step
+        return lambda texts: model.score(np.array([statistics(t) for t in texts])) >= 0.5
 
-    marked = map_texts(docs, "__good boolean", start, keep=docs.columns)
-    return marked.where("__good").select(*docs.columns)
+    bound_batches(docs.sparkSession)
+    return docs.where(over_texts(F.col("text"), "boolean", start))

@@ -14,7 +14,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
-from sessora.llm.common import map_texts
+from sessora.llm.common import bound_batches, map_texts, over_texts
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "entropy")
@@ -181,21 +181,14 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     A null text stays null.
     """
-
-    def start() -> Callable:
-        def step(texts, part):
-            nulls = part.column("text").is_null().to_pylist()
-            return {"__clean": [None if n else redact(t) for t, n in zip(texts, nulls)]}
-
-        return step
-
-    clean = map_texts(docs, "__clean string", start, keep=docs.columns)
-    length = F.when(F.col("text") == F.col("__clean"), F.col("n_chars")).otherwise(
-        F.length("__clean").cast("long")
-    )
+    bound_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    clean = F.when(text.isNotNull(), over_texts(text, "string", lambda: lambda texts: [redact(t) for t in texts]))
+    new = {"text": clean}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return clean.withColumn("text", F.col("__clean")).select(*docs.columns)
+        length = F.when(text == clean, F.col("n_chars")).otherwise(F.length(clean).cast("long"))
+        new["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return docs.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def joined_spans(spans) -> F.Column:

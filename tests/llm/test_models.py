@@ -439,3 +439,31 @@ def test_pipeline_awkward(spark):
             assert found.columns == clash.columns
         assert found.count() >= 1
         assert stage(spark, empty(spark), SF).count() == 0
+
+
+# --- stages over columns with helper-like names, repeated ids
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    from sessora.llm import languages, quality, secrets
+
+    names = ("__good", "__out", "__clean", "__note", "value", "row", "kept", "_0", "pythonUDF0")
+    frame = clashing(docs(spark), *names)
+    labels = spark.createDataFrame([(0, 1, 0), (15, 0, 0)], "doc_id long, quality int, toxic int")
+    good = quality.accepted(frame, quality.fit(frame, labels))
+    kept = languages.accepted(frame, languages.fit(frame))
+    clean = secrets.redacted(frame)
+    for found in (good, kept, clean):
+        assert found.columns == frame.columns
+        assert found.where("__good <> 'clash' or pythonUDF0 <> 'clash'").count() == 0
+    assert clean.count() == frame.count()
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, words(1)), (1, words(2)), (1, words(2)), (2, words(3)), (3, words(3)), (None, words(3))]
+    frame = docs(spark, [(i, t, "en", f"s{n}", 1) for n, (i, t) in enumerate(rows)])
+    found = neardups.deduplicated(clashing(frame, "row", "kept", "node"))
+    assert sorted((str(r.doc_id), r.text, r.source) for r in found.collect()) == sorted(
+        [("1", words(1), "s0"), ("1", words(2), "s1"), ("2", words(3), "s3"), ("None", words(3), "s5")]
+    )
