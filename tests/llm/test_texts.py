@@ -311,3 +311,34 @@ def test_awkward_rows(spark, name):
     clash = clashing(frame, "spans", "media", "ids", "start", "pieces", "fingerprint", "chunk", "key")
     assert bag(operator(clash)) == bag(found)
     assert operator(empty(spark)).count() == 0
+
+
+# --- random keys of every alphabet
+
+ALPHABETS = {
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "base32": "abcdefghijklmnopqrstuvwxyz234567",
+    "lower and digits": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "upper and digits": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "hex": "0123456789abcdef",
+    "upper hex": "0123456789ABCDEF",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_few_of_all_random_keys_are_missed(name):
+    rng = random.Random(7)
+    for length, most in ((20, 0.03), (24, 0.02), (32, 0.01)):
+        keys = ["".join(rng.choices(ALPHABETS[name], k=length)) for _ in range(400)]
+        missed = sum(secrets.redact(f"use {k} now") != f"use {secrets.REDACTED} now" for k in keys)
+        assert missed <= most * len(keys), (name, length, missed)
+
+
+def test_example_keys_are_allowed_only_as_a_whole():
+    key = "q7Rk2mZx9LpW4vTc8NbY1sHd"
+    assert secrets.find_spans("id AKIAIOSF EXAMPLE") == []
+    assert secrets.find_spans("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+    for text in (f"EXAMPLE{key}", f"EXAMPLE={key}", f"EXAMPLE_KEY_{key}"):
+        assert [s[2] for s in secrets.find_spans(text)] == ["entropy"], text
