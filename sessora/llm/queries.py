@@ -23,7 +23,7 @@ from sessora.llm import (
     toxicity,
 )
 from sessora.llm.common import held_out, texts_of
-from sessora.llm.oracles import NEAR_DUPLICATES
+from sessora.llm.oracles import MANIFEST, NEAR_DUPLICATES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,4 +124,7 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op8_minhash_near_dedup": NEAR_DUPLICATES}
+ORACLES: dict[str, str] = {
+    "op8_minhash_near_dedup": NEAR_DUPLICATES,
+    "op13_merkle_manifest": MANIFEST,
+}

@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import duckdb
 import pytest
 from samples import bag, clashing, docs
 from pyspark.sql import functions as F
 
-from sessora.llm import dialogues, manifests, queries, shards
+from sessora.llm import dialogues, manifests, oracles, queries, shards
 
 SF = "/root/testdata/sf0.001"
 
@@ -282,6 +283,13 @@ def test_manifest_of_the_whole_table(spark, table):
     assert found == plain_manifest(fields(table))
 
 
+def test_manifest_equals_its_sql():
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rows = connection.execute(f"SELECT {', '.join(manifests.FIELDS)} FROM documents").fetchall()
+    assert sorted(str(r) for r in connection.execute(oracles.MANIFEST).fetchall()) == plain_manifest(rows)
+
+
 @pytest.mark.parametrize("few", [0, 5_000])
 def test_manifest_of_odd_sources(spark, monkeypatch, few):
     """Trees of all sizes, single rows, null and odd names, equal rows; with and without broadcasts."""
