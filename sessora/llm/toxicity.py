@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sessora.llm.common import map_texts, texts_of
+from sessora.llm.common import map_texts, stored, texts_of
 
 SAMPLE_ROWS = 20_000
 WORDS = 400
@@ -136,12 +136,17 @@ def train_chain(features: np.ndarray, labels: np.ndarray, folds: np.ndarray) ->
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows with the lowest hashes. Broadcast: `rows` at most."""
+    """doc_id, text, toxic of the labelled rows with the lowest hashes, stored. Broadcast: `rows` at most.
+
+    Of documents that repeat an id the least text counts, so that there are `rows` at most.
+    """
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()
     )
     chosen = wanted.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "toxic").limit(rows)
-    return texts_of(docs).join(F.broadcast(chosen), "doc_id")
+    labelled = texts_of(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = labelled.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return stored(texts.join(F.broadcast(chosen), "doc_id"))
 
 
 def _counted(sample: DataFrame) -> DataFrame:
