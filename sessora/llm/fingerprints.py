@@ -28,7 +28,7 @@ from sessora.llm.common import codepoints, slices, splitmix, texts_of
 BINS = 128
 DIGITS = 4
 EMPTY = "-" * DIGITS
-CHUNK_ROWS = 2048  # documents that are sorted and walked together, about
+CHUNK_BYTES = 128 << 20  # of neighbours that one task sorts and walks; less where Spark's shuffles are finer
 _NULL_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -117,18 +117,21 @@ def likeness(a: str, b: str) -> float:
     return float((x == y)[filled].mean()) if filled.any() else 1.0
 
 
-def _placed(docs: DataFrame, rows: int) -> DataFrame:
+def _placed(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """Rows with `chunk` (consecutive by order) and `ahead`: the first id of each chunk is also sent
     to the chunk before it, that of the first chunk to the last one.
 
-    The bounds come from ids alone, one for about each `rows` documents; they are all that the driver sees.
+    The bounds come from ids alone; they are all that the driver sees, one for each chunk. Their number
+    follows the bytes, with Spark's number of shuffle partitions as the least.
     """
     keyed = docs.select(
         "doc_id",
         F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    parts = max(1, -(-docs.count() // rows))
+    found = keyed.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(found.rows, max(least, -(-(found.bytes or 0) // chunk_bytes))))
     ranged = keyed.select("key").repartitionByRange(parts, "key")
     firsts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
     bounds = np.array(sorted(r.key for r in firsts.collect()) or [0], np.int64)
@@ -155,7 +158,7 @@ def _placed(docs: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def fingerprint(docs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def fingerprint(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, the two fingerprints, near_edited, near_next.
 
     Texts are shuffled once, into chunks of neighbours, and walked as a stream.
@@ -164,7 +167,7 @@ def fingerprint(docs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
         " edited_fingerprint string, near_edited double, near_next double"
     )
-    return _placed(texts_of(docs), chunk_rows).mapInArrow(_walk, result)
+    return _placed(texts_of(docs), chunk_bytes).mapInArrow(_walk, result)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
