@@ -130,6 +130,12 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """The frame, computed once into Parquet in the shared folder; its columns are read as needed."""
     path = shared_folder(frame.sparkSession)
