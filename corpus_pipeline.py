@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the
 last return the columns of documents, extra ones too. `run` writes each stage as Parquet into the
 shared folder and rereads it, so that no stage repeats another's work and a lost executor costs no
-more than the stage it was in.
+more than the stage it was in. A stage's table goes once the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sessora.llm import languages, neardups, packing, quality, secrets
-from sessora.llm.common import shared_folder
+from sessora.llm.common import remove, shared_folder
 
 #: SQL can express neither the models nor the tokenizer.
 ORACLE_SQL = None
@@ -55,7 +55,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of what the stages keep of `documents`."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
