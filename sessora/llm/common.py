@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_ROWS = 256
 SLICE_BYTES = 4 << 20
 #: Of one Arrow batch; a task holds a few at a time, in the JVM and in Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 #: Columns to add for a slice of rows, by name, from its texts ('' for null) and the slice itself.
 Step = Callable[[list[str], pa.RecordBatch], dict]
@@ -47,6 +49,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Free memory of a Python worker that has done its task, for those that work next to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def over_texts(text: Column, kind: str, start: Callable[[], Callable[[list[str]], list]]) -> Column:
     """A value of DDL type `kind` for each text ('' for null); only the text goes through Python.
 
@@ -62,6 +73,8 @@ def over_texts(text: Column, kind: str, start: Callable[[], Callable[[list[str]]
             cut = slices([batch], most=SLICE_BYTES // 4)
             parts = [pa.array(step(p.column(0).fill_null("").to_pylist()), arrow) for p in cut]
             yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+        del step
+        give_back()
 
     return run(text.cast("string"))
 

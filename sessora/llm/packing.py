@@ -103,9 +103,9 @@ class WordEncoder:
 
 
 @functools.cache
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, cached: int) -> WordEncoder:
     """One per Python worker, kept from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, cached)
 
 
 def pack(
@@ -113,9 +113,10 @@ def pack(
     tokenizer: str | None = None,
     max_tokens: int = MAX_TOKENS,
     end_id: int = END_ID,
+    cached: int = CACHED_WORDS,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, bucket (log2 of length), ids as
-    little-endian unsigned 32-bit integers, sequence_id, offset.
+    little-endian unsigned 32-bit integers, sequence_id, offset. A Python worker remembers `cached` words.
 
     sequence_id is the task's number in its upper bits and a counter below, so it stays unique when a
     lost task runs again.
@@ -123,7 +124,7 @@ def pack(
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def start() -> Callable:
-        encode = _encoder(path)
+        encode = _encoder(path, cached)
 
         def step(texts, part):
             rows = []
