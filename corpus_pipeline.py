@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sessora.llm import languages, neardups, packing, quality, secrets
 from sessora.llm.common import remove, shared_folder
 
+#: Words that a Python worker remembers in the last stage, next to what the stages before it left.
+PACKED_WORDS = 150_000
+
 #: SQL can express neither the models nor the tokenizer.
 ORACLE_SQL = None
 
@@ -40,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its ids, and where they lie."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached=PACKED_WORDS)
 
 
 STAGES = [
