@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sessora.plans.folds import Fold
 
-BUCKETS = 1024
+BUCKETS = 256
 
 #: Stands for NULL in columns of longs, which pandas would else turn into floats.
 NONE = -(1 << 63)
