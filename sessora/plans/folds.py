@@ -190,15 +190,20 @@ class _Fences:
         grouped = sample.groupBy(*keys).agg(points.alias("_points"))
         kept = F.filter("_points", lambda _, i: i % step == step - 1)
         thinned = grouped.select(*keys, kept.alias("_points")).where(F.size("_points") > 0)
-        self.table = thinned.select(*keys, _blocks(F.col("_points")).alias("_fences"))
+        self.table = thinned.select(*keys, _searched(F.col("_points")).alias("_fences"))
 
     def assign(self, df: DataFrame, split_groups_only: bool = False) -> DataFrame:
         """Add ``CHUNK``: how many split points of its group lie at or before the row."""
-        if not self.keys:
-            return _with_chunk(df.withColumn("_fences", self.table.scalar()), self.order)
-        how = "inner" if split_groups_only else "left"
-        joined = _join_null_safe(df, self.table, self.keys, how)
-        return _with_chunk(joined, self.order)
+        here = F.struct(*self.order)
+        if self.keys:
+            how = "inner" if split_groups_only else "left"
+            fenced = _join_null_safe(df, self.table, self.keys, how)
+            return fenced.withColumn(CHUNK, _chunk(F.col("_fences"), here)).drop("_fences")
+        # The scalar is named once, above plain columns only (hence the explode): Spark then reads it in place,
+        # and no row carries all split points.
+        placed = df.select("*", F.explode(F.array(here)).alias("_here"))
+        fenced = placed.withColumn("_fences", self.table.scalar())
+        return fenced.withColumn(CHUNK, _chunk(F.col("_fences"), F.col("_here"))).drop("_fences", "_here")
 
 
 def _join_null_safe(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -208,27 +213,24 @@ def _join_null_safe(df: DataFrame, small: DataFrame, keys: Sequence[str], how: s
     return df.join(F.broadcast(named), same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def _blocks(points: Column) -> Column:
-    """Sorted points cut into about sqrt(n) blocks of sqrt(n), for a two-step search."""
-    ordered = F.sort_array(points)
-    size = F.size(ordered)
-    width = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
-    starts = F.sequence(F.lit(1), size, width)
-    blocks = F.transform(starts, lambda at: F.slice(ordered, at, width))
-    return F.when(size > 0, blocks)
+def _searched(points: Column) -> Column:
+    """Sorted points and the step widths of a binary search among them: powers of two, largest first."""
+    bits = F.length(F.bin(F.size(points)))
+    steps = F.transform(F.sequence(bits - 1, F.lit(0)), lambda e: F.pow(F.lit(2), e).cast("int"))
+    return F.struct(points.alias("points"), steps.alias("steps"))
 
 
-def _with_chunk(df: DataFrame, order: list[str]) -> DataFrame:
-    here = F.struct(*order)
-    fences, block_no = F.col("_fences"), F.col("_block_no")
-    inside = F.size(F.filter(F.get(fences, block_no - 1), lambda point: point <= here))
-    chunk = F.when(block_no > 0, (block_no - 1) * F.size(fences[0]) + inside).otherwise(0)
-    blocks_upto = F.size(F.filter(fences, lambda block: block[0] <= here))
-    return (
-        df.withColumn("_block_no", F.when(fences.isNotNull(), blocks_upto).otherwise(0))
-        .withColumn(CHUNK, chunk)
-        .drop("_block_no", "_fences")
-    )
+def _chunk(fences: Column, here: Column) -> Column:
+    """How many of the points lie at or before the row; 0 without points."""
+
+    def among(found: Column) -> Column:
+        def step(at: Column, width: Column) -> Column:
+            return F.when(F.get(found["points"], at + width - 1) <= here, at + width).otherwise(at)
+
+        return F.aggregate(found["steps"], F.lit(0), step)
+
+    counted = F.get(F.transform(F.array(fences), among), F.lit(0))
+    return F.coalesce(counted, F.lit(0))
 
 
 def _carry(

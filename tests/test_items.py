@@ -181,3 +181,18 @@ def test_responses_need_a_confidence_within_bounds(spark):
     responses = spark.createDataFrame(rows, "confidence double")
     assert C.validate_responses(responses).count() == 2
     assert C.invalid_responses(responses).count() == 4
+
+
+def test_numbering_spreads_and_reads_split_points_in_place(spark):
+    rows = spark.range(150_000).select(F.col("id").alias("mono_us"), (-F.col("id")).alias("event_seq"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge the tasks of so few rows
+    try:
+        numbered = I.sequence_items(rows).withColumn("task", F.spark_partition_id())
+        found = numbered.agg(F.countDistinct("task"), F.sum((F.col("queue_sequence_id") != F.col("mono_us") + 1).cast("int")))
+        tasks, wrong = found.first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert tasks > 1 and wrong == 0
+    plan = I.sequence_items(rows, rows_per_chunk=16)._jdf.queryExecution().optimizedPlan().toString()
+    read = [line for line in plan.splitlines() if "scalar-subquery" in line]
+    assert read and not any("AS _fences" in line for line in read)
