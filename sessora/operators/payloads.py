@@ -175,14 +175,14 @@ def parse_payloads(raw: DataFrame, column: str = "value", *, tolerant: bool = Tr
     :func:`validate_payloads`; text is parsed, looked up and checked in one expression.
     """
     if tolerant:
-        read = raw.withColumn("_variant", F.try_parse_json(column))
-        refused = F.when(F.col("_variant").isNull(), F.col(column))
+        first = F.struct(F.col(column).alias("text"), F.try_parse_json(column).alias("variant"))
+        read = _with_once(raw, "_first", first)
+        refused = F.when(F.col("_first.variant").isNull(), F.col("_first.text"))
         read = read.withColumn("_again", _rewritten(refused))
-        parsed = read.withColumn(
-            "read", _let(F.coalesce("_variant", F.try_parse_json("_again")), _read_payload)
-        ).drop("_variant", "_again")
+        payload = F.coalesce("_first.variant", F.try_parse_json("_again"))
+        parsed = _with_once(read, "read", _let(payload, _read_payload)).drop("_first", "_again")
     else:
-        parsed = raw.withColumn("read", _let(F.try_parse_json(column), _read_payload))
+        parsed = _with_once(raw, "read", _let(F.try_parse_json(column), _read_payload))
     tag = F.col("read.event_type")
     requests = {
         name: F.when(tag == event, _request(PAYLOAD_FIELDS[event]))
@@ -224,6 +224,14 @@ def _rewritten(text: Column) -> Column:
     return again(text)
 
 
+def _with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` and a column that is evaluated once for each row.
+
+    A plain column is evaluated again in every filter on it and in every later column that names it.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -233,8 +241,8 @@ def _read_payload(payload: Column) -> Column:
     def members(path: str) -> Column:
         return F.try_variant_get(payload, path, "map<string,variant>")
 
-    def kind(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
+    def present(path: str) -> Column:
+        return F.try_variant_get(payload, path, "variant").isNotNull()
 
     document = F.struct(
         payload.isNotNull().alias("is_json"),
@@ -247,11 +255,11 @@ def _read_payload(payload: Column) -> Column:
             F.lit("features"), members("$.features"),
         ).alias("objects"),
         F.create_map(
-            F.lit(""), kind("$"),
-            F.lit("session"), kind("$.session"),
-            F.lit("message"), kind("$.message"),
-            F.lit("features"), kind("$.features"),
-        ).alias("kinds"),
+            F.lit(""), present("$"),
+            F.lit("session"), present("$.session"),
+            F.lit("message"), present("$.message"),
+            F.lit("features"), present("$.features"),
+        ).alias("present"),
     )
     return _let(document, _read_document)
 
@@ -273,7 +281,7 @@ def _read_document(document: Column) -> Column:
             lambda leaf: F.struct(
                 field.alias("field"),
                 members.isNotNull().alias("inside"),
-                F.try_element_at(document["kinds"], field["group"]).alias("group_type"),
+                F.try_element_at(document["present"], field["group"]).alias("present"),
                 F.schema_of_variant(leaf).alias("type"),
                 F.try_variant_get(leaf, "$", "string").alias("text"),
             ),
@@ -282,7 +290,7 @@ def _read_document(document: Column) -> Column:
     def read(found: Column) -> Column:
         value = _value(found["field"]["kind"], found["type"], found["text"])
         return F.struct(
-            *[found[c].alias(c) for c in ("field", "inside", "group_type", "type")],
+            *[found[c].alias(c) for c in ("field", "inside", "present", "type")],
             value.alias("value"),
         )
 
@@ -336,9 +344,11 @@ def _value(kind: Column, json_type: Column, text: Column) -> Column:
         .when(is_number | (is_text & trimmed.rlike(_INT_TEXT)), digits)
         .try_cast("decimal(38,6)")
     )
-    integer = F.when(whole == F.floor(whole), whole.cast("decimal(38,0)").cast("string"))
+    integer = F.when(json_type == "BIGINT", text).when(  # a long is its own text
+        whole == F.floor(whole), whole.cast("decimal(38,0)").cast("string")
+    )
     is_float_text = is_text & (trimmed.rlike(_FLOAT_TEXT) | trimmed.rlike(_INFINITE_TEXT))
-    real = F.when(is_flag, flag_digit).when(is_number | is_float_text, digits)
+    real = F.when(is_number, text).when(is_flag, flag_digit).when(is_float_text, digits)
     word = F.when(is_number, text.try_cast("double").cast("bigint").cast("string")).when(
         is_text, F.lower(trimmed)
     )
@@ -402,7 +412,7 @@ def _check(read: Column) -> Column:
         .when((field["kind"] == "int") & value.try_cast("bigint").isNull(), "too_large")
     )
     # a missing or wrong object is reported once, not by its fields
-    whole = F.when(read["group_type"].isNull(), ":missing").otherwise(":type")
+    whole = F.when(~read["present"], ":missing").otherwise(":type")
     in_object = F.when(reason.isNotNull(), F.concat(path, F.lit(":"), reason))
     return F.when(read["inside"], in_object).when(field["leads"], F.concat(field["group"], whole))
 

@@ -172,3 +172,14 @@ def test_files(spark, tmp_path):
     assert sorted(logged, key=lambda p: p["queue_sequence_id"]) == [MESSAGE, SUMMARY]
     vectors = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "vectors")).collect()]
     assert {tuple(v["names"]) for v in vectors} == {S.MESSAGE_FEATURES, S.SESSION_FEATURES}
+
+
+def test_a_filter_does_not_read_the_text_again(spark):
+    texts = [json.dumps(MESSAGE), json.dumps(changed(MESSAGE, "session.session_id", -1)), "oops"]
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    for tolerant, readings in ((False, 1), (True, 2)):
+        parts = J.split_payloads(J.validate_payloads(J.parse_payloads(raw, tolerant=tolerant)))
+        for part, rows in zip(parts, (1, 2)):
+            plan = part._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count(".parseJson(") == readings
+            assert part.count() == rows
